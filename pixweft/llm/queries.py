@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, idfile, langid, neardup, quality, toxicity, urls
+from . import bpe, chat, decontam, idfile, langid, lm, neardup, quality, toxicity, urls
 from .shared import documents
 
 
@@ -30,6 +30,10 @@ def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
