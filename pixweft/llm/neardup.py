@@ -8,10 +8,15 @@ left band with a right band, so 2 * SIDE * BAND minima do what SIDE * SIDE * 2 *
 would. A pair at the threshold misses every left or every right band with probability of at
 most 2 * (1 - 0.85 ** BAND) ** SIDE = 7e-5.
 
-Inside a table key, all members are first compared with the least one; what these links leave
-in different components is then compared across components only. So a large group of
-near copies costs one comparison per member and table key, not one per pair, and no link
-between different components of a key is left out. Links are confirmed on full sets.
+Inside a table key, all members are first compared with the least one, so a large group of
+near copies costs one comparison per member and key. What these links leave in different
+components is then compared across components: a key's members are dealt into blocks of about
+BLOCK, pairs of blocks into tasks, and only the first key that a pair shares passes it on.
+
+Pairs whose sizes can't reach the threshold are dropped before their sets are read, and so are pairs that
+differ in more than DIFFER of the 2 * SIDE * BAND minima (a byte of each) or, across
+components, in more than SHARP_DIFFER of SHARP further ones; pairs at the threshold do so with
+probabilities of 6e-6 and 1e-5. Links are confirmed on full sets.
 
 Null or empty texts, and texts without words, have an empty set: no links, their own
 component. A null doc_id has a null component and is not kept. Repeated rows are judged alike.
@@ -32,7 +37,9 @@ from .components import components
 from .shared import cut, texts
 
 SIDE, BAND, SHINGLE, PERCENT = 8, 2, 5, 85
+DIFFER, SHARP, SHARP_DIFFER, BLOCK, STEP = 15, 256, 64, 256, 1 << 19
 _HASHES = 2 * SIDE * BAND
+_SKETCH = [f"s{k}" for k in range(_HASHES // 8)]
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -52,18 +59,17 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> Iterato
             yield np.zeros(0, np.uint64)
 
 
-def _bands(sets: list[np.ndarray]) -> np.ndarray:
-    """One row for each set, 2 * SIDE band values in it; sets are not empty."""
+def _bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, which isn't empty, a row of 2 * SIDE band values and a row with a byte of each minimum."""
     every = np.concatenate(sets)
     begins = np.zeros(len(sets), np.int64)
     np.cumsum([len(s) for s in sets[:-1]], out=begins[1:])
-    flip, odd = K.seeded(_HASHES, 2), K.seeded(_HASHES, 3) | np.uint64(1)
     out = np.zeros((len(sets), 2 * SIDE), np.uint64)
-    for h in range(_HASHES):
-        x = every ^ flip[h]
-        x *= odd[h]
-        out[:, h // BAND] = K.mix(out[:, h // BAND] * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(x, begins))
-    return out
+    sketch = np.zeros((len(sets), _HASHES), np.uint8)
+    for h, least in enumerate(_minima(every, begins, _HASHES, 2)):
+        out[:, h // BAND] = K.mix(out[:, h // BAND] * np.uint64(0x9FB21C651E98DF25) + least)
+        sketch[:, h] = (K.mix(least) & np.uint64(255)).astype(np.uint8)
+    return out, sketch
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -73,19 +79,38 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
             full = [k for k, s in enumerate(sets) if len(s)]
             digest = np.zeros((len(sets), 2), np.uint64)
             bands = np.zeros((len(sets), 2 * SIDE), np.uint64)
+            sketch = np.zeros((len(sets), _HASHES), np.uint8)
             if full:
                 for k in full:
                     s = sets[k]
                     digest[k] = s.sum(dtype=np.uint64), K.mix(s ^ np.uint64(0x1D8E4E27C47D124F)).sum(dtype=np.uint64)
-                bands[full] = _bands([sets[k] for k in full])
+                bands[full], sketch[full] = _bands([sets[k] for k in full])
             flat = pa.array(bands.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 2 * SIDE), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), lists],
-                ["doc_id", "n_shingles", "d1", "d2", "bands"],
+                [batch.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), lists, *(pa.array(x) for x in sketch.view(np.int64).T)],
+                ["doc_id", "n_shingles", "d1", "d2", "bands", *_SKETCH],
             )
 
 
+def _minima(every: np.ndarray, begins: np.ndarray, n: int, seed: int) -> Iterator[np.ndarray]:
+    """n times the least value, under another hash function each time, of the sets that begin at `begins`."""
+    for flip, odd in zip(K.seeded(n, seed), K.seeded(n, seed + 1) | np.uint64(1), strict=True):
+        x = every ^ flip
+        x *= odd
+        yield np.minimum.reduceat(x, begins)
+
+
+def _sharp_sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, data, off in K.slices(batch.column(1)):
+            sets = list(shingle_sets(data, off, n))
+            begins = np.zeros(len(sets), np.int64)
+            np.cumsum([len(s) for s in sets[:-1]], out=begins[1:])
+            sketch = np.stack([(K.mix(x) & np.uint64(255)).astype(np.uint8) for x in _minima(np.concatenate(sets), begins, SHARP, 4)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "sharp"])
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, off in K.slices(batch.column(1)):
@@ -113,37 +138,109 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame
     return both.select("a", "b", "full_a", "full_b").mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
 
 
+def _differing(a: str, b: str) -> str:
+    """SQL: in how many of 8 bytes two longs differ."""
+    x = f"({a} ^ {b})"
+    y = f"({x} | shiftrightunsigned({x}, 4))"
+    y = f"({y} | shiftrightunsigned({y}, 2))"
+    return f"bit_count(({y} | shiftrightunsigned({y}, 1)) & 72340172838076673L)"
+
+
+def _may_link(percent: int) -> str:
+    """SQL condition on the rows `a` and `b`."""
+    return f"100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles) and {' + '.join(_differing(f'a.{c}', f'b.{c}') for c in _SKETCH)} <= {DIFFER}"
+
+
+def _table_keys() -> F.Column:
+    """Rows (table, key): one for each left band with each right band."""
+    left, right = f"slice(bands, 1, {SIDE})", f"slice(bands, {SIDE + 1}, {SIDE})"
+    return F.posexplode(F.expr(f"flatten(transform({left}, (l, i) -> transform({right}, (r, j) -> xxhash64(l, r, i, j))))")).alias("table", "key")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _near_pairs(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The pairs (a, b) of rows with equal (key, p, q), which follow each other, that may link and have no earlier key in common."""
+    key, p, q, side, table, ids, size, c = (rows.column(k).to_numpy() for k in range(8))
+    bands = rows.column(8).flatten().to_numpy().reshape(-1, 2 * SIDE)
+    sketch, sharp = _matrix(rows.column(9), _HASHES), _matrix(rows.column(10), SHARP)
+    new = np.flatnonzero((np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+    stop = np.repeat(np.append(new, len(key)), np.diff(np.concatenate([[0], new, [len(key)]])))
+    later = stop - np.arange(len(key)) - 1
+    out, i = [], 0
+    total = np.cumsum(later)
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - later[i] + STEP, "right")))
+        n = later[i:j]
+        a = np.repeat(np.arange(i, j), n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+        keep = (c[a] != c[b]) & ((p[a] == q[a]) | (side[a] != side[b])) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        a, b = a[keep], b[keep]
+        keep = (sketch[a] != sketch[b]).sum(axis=1) <= DIFFER
+        a, b = a[keep], b[keep]
+        same = bands[a] == bands[b]
+        keep = same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == table[a]
+        a, b = a[keep], b[keep]
+        keep = (sharp[a] != sharp[b]).sum(axis=1) <= SHARP_DIFFER
+        out.append(np.stack([ids[a[keep]], ids[b[keep]]]))
+        i = j
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Groups of rows may go on in the next batch: the last one, of at most about two blocks, waits for it."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        same = np.ones(batch.num_rows, bool)
+        for k in range(3):
+            x = batch.column(k).to_numpy()
+            same &= x == x[-1]
+        cut_at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        yield _near_pairs(batch.slice(0, cut_at), percent)
+        rest = batch.slice(cut_at)
+    if rest is not None:
+        yield _near_pairs(rest, percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept): one row for each row of docs. class_id is the least id with the same set."""
-    sig = cut(texts(docs).mapInArrow(partial(_signatures, n=n), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    kinds = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+    sig = cut(texts(docs).mapInArrow(partial(_signatures, n=n), kinds), "signatures")
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     least = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     # dropDuplicates: a doc_id may come twice
-    reps = sets.join(least.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = reps.select(
-        F.col("doc_id").alias("id"),
-        "n_shingles",
-        F.explode(F.expr(f"flatten(transform(slice(bands, 1, {SIDE}), (l, i) -> transform(slice(bands, {SIDE + 1}, {SIDE}), (r, j) -> xxhash64(l, r, i, j))))")).alias("key"),
-    )
-    heads = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = cut(keys.join(heads, "key").select("key", "id", "n_shingles", "head"), "members")
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    first = members.where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n_shingles").alias("n_a"), F.col("n_shingles").alias("n_b")).where(fits).select("a", "b").distinct()
-    first = cut(first, "pairs")
+    reps = sets.join(least.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id").drop("d1", "d2")
+    reps = cut(reps, "representatives")
+    keys = reps.select("id", _table_keys())
+    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    members = cut(keys.join(heads, "key").where("id <> head").select("key", "table", "id", "head", "size"), "members")
+    slim = reps.select("id", "n_shingles", *_SKETCH)
+    stars = members.select("head", "id").distinct().join(slim.alias("b"), "id").join(slim.withColumnRenamed("id", "head").alias("a"), "head")
+    first = cut(stars.where(F.expr(_may_link(percent))).select(F.col("head").alias("a"), F.col("id").alias("b")), "pairs")
     links = cut(_links(first, docs, percent, n), "links")
     # What is left: members of one key that are still in different components, the heads compared already
     label = components(links)
-    named = members.where("id <> head.id").join(label, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    named = members.where("size > 2").join(label, "id", "left").select("key", "table", "id", "size", F.coalesce("component", "id").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     named = cut(named.join(split, "key", "left_semi"), "split")
-    other = named.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("c").alias("c_b"))
-    more = named.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("c").alias("c_a")).join(other, "key").where(f"c_a < c_b and {fits}").select("a", "b").distinct()
+    rows = texts(docs).join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sharp = rows.mapInArrow(partial(_sharp_sketches, n=n), "id long, sharp binary")
+    known = cut(reps.select("id", "n_shingles", "bands", F.expr(f"unhex(concat({', '.join(f'lpad(hex({c}), 16, {chr(39)}0{chr(39)})' for c in _SKETCH)}))").alias("sketch")).join(sharp, "id"), "sketches")
+    dealt = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "table", "id", "c")
+    dealt = dealt.join(known, "id").select("key", "p", "q", "side", "table", "id", "n_shingles", "c", "bands", "sketch", "sharp")
+    more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()
     more = cut(more, "pairs")
     label = components(links.unionByName(_links(more, docs, percent, n)))
     klass = least.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("d1", "d2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
     return (
-        sig.drop("bands")
+        sig.select("doc_id", "n_shingles", "d1", "d2")
         .join(klass, ["d1", "d2", "n_shingles"], "left")
         .select(
             "doc_id",
