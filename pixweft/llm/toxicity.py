@@ -2,13 +2,17 @@
 
 Tokens are runs of ASCII letters and digits and bytes of other scripts, A-Z lower-cased;
 clauses end at . ! ? ; : and line ends. The insult lexicon is learned: words and word beginnings of
-STEMS bytes that occur in toxic rows far more often than chance (likelihood ratio of at
-least EVIDENCE, log-odds of at least LEAST), weighted by their log-odds; what
+STEMS bytes that occur in toxic rows far more often than chance (likelihood ratio over documents of at
+least EVIDENCE, log-odds over tokens of at least LEAST), weighted by their log-odds; what
 occurs beside the same words again and again, as in copies of one text, and beginnings of a few words only don't count (CONTEXTS). Each token becomes a symbol (insult, threat,
 target, modal, negation, reported speech, other); the transducers below run over a
 clause's symbols and are composed by their outputs: an insult's weight grows beside a target, and shrinks
-after a near negation or behind reported speech; threats count only with a target. A text's
-score is the logistic function of the log-odds of PRIOR plus the sum of its clauses' weights.
+after a near negation or behind reported speech; threats count only with a target.
+
+The weights of clauses are log-likelihood ratios, so each token also costs the rate of insults in
+toxic rows (learned from the same rows): a few chance hits don't make a long text toxic. A text's score is the logistic function of
+the log-odds of PRIOR plus the sum over all clauses or, if greater, that over the best run of clauses less
+log(1 + tokens / RUN), the price of choosing it: one toxic passage in a long clean text counts.
 
 Learning uses labelled rows whose crc32(doc_id) mod FOLDS isn't HELD_OUT, at most about SAMPLE of each
 label, taken by a hash of doc_id; of repeated labels of a document the largest counts. Null and empty texts have no clause and score PRIOR.
@@ -18,6 +22,7 @@ Without labels nothing is learned and only threats score. Repeated rows are judg
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -26,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import texts
+from .shared import cut, texts
 
-FOLDS, HELD_OUT, SAMPLE, STEMS, EVIDENCE, LEXICON = 3, 1, 20_000, (4, 5, 6), 30.0, 20_000
-PRIOR, THRESHOLD, LEAST, MOST, CONTEXTS = 0.1, 0.7, 2.5, 6.0, 0.7
+FOLDS, HELD_OUT, SAMPLE, STEMS, EVIDENCE, LEXICON = 3, 1, 20_000, (4, 5, 6, 7, 8), 30.0, 20_000
+PRIOR, THRESHOLD, LEAST, MOST, CONTEXTS, RUN = 0.1, 0.7, 2.5, 6.0, 0.7, 64
 #: Fixed words of the grammar, by symbol.
 WORDS = {
     "target": "you your yours youre u he she him her they them those these people du dich dir dein deine ihr euch sie er tu te toi vous votre ils elles usted ustedes tú ti él ella ellos ellas",
@@ -45,10 +50,11 @@ _CLAUSE[[ord(c) for c in ".!?;:\n"]] = True
 
 
 class Lexicon(NamedTuple):
-    """Sorted feature hashes and their weights."""
+    """Sorted feature hashes, their weights, and the insults per token that toxic texts have more than others."""
 
     hashes: np.ndarray
     weights: np.ndarray
+    rate: float = 0.0
 
 
 def held_out() -> Column:
@@ -67,7 +73,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents with it, toxic documents with it, its contexts) of each slice; feature 0 counts all documents.
+    """(feature, documents with it, toxic documents with it, its times, its times in toxic documents, contexts) of each slice; feature 0 counts all documents and tokens.
     contexts: in toxic documents, a bit for each of 64 classes of a word's neighbours, or of a beginning's words."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -80,20 +86,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             beside[1:-1] = every[0]
             place = K.mix(beside[:-2] * np.uint64(3) + beside[2:]) & np.uint64(63)
             place = np.concatenate([place, np.tile(every[0] & np.uint64(63), len(STEMS))])
-            bit = np.where(toxic[i:j][doc] == 1, np.uint64(1) << place, np.uint64(0))
+            bad = toxic[i:j][doc]
+            bit = np.where(bad == 1, np.uint64(1) << place, np.uint64(0))
             order = np.lexsort((doc, value))
             order = order[value[order] != 0]
-            doc, value, bit = doc[order], value[order], bit[order]
-            new = np.ones(len(doc), bool)
+            doc, value, bit, bad = doc[order], value[order], bit[order], bad[order]
+            new = np.ones(len(doc), np.int64)
             new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
             own, at = np.unique(value, return_index=True)
+            per = lambda x, at=at: np.add.reduceat(x, at) if len(at) else np.zeros(0, np.int64)
             bits = np.bitwise_or.reduceat(bit, at) if len(at) else bit
-            doc, value = doc[new], value[new]
-            _, at = np.unique(value, return_index=True)
-            n = np.diff(np.append(at, len(value)))
-            bad = np.add.reduceat(toxic[i:j][doc], at) if len(at) else n
-            columns = [np.append(own, np.uint64(0)).view(np.int64), np.append(n, j - i), np.append(bad, toxic[i:j].sum()), np.append(bits, np.uint64(0)).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["feature", "n", "bad", "contexts"])
+            words = np.diff(first)
+            columns = [np.append(own, np.uint64(0)).view(np.int64), np.append(per(new), j - i), np.append(per(new * bad), toxic[i:j].sum()), np.append(per(np.ones(len(doc), np.int64)), words.sum()), np.append(per(bad), (words * toxic[i:j]).sum()), np.append(bits, np.uint64(0)).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["feature", "n", "bad", "times", "bad_times", "contexts"])
+
+
+def _hits(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """(toxic, tokens in the lexicon, tokens) of each slice."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j, data, off in K.slices(batch.column(0), 2 << 20):
+            starts, ends, first = K.spans(data, off, K.NOT_ALNUM)
+            hit = insult_weights(lexicon, features(data, starts, ends)) > 0
+            own = toxic[i:j][np.repeat(np.arange(j - i), np.diff(first))]
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([int(hit[own == k].sum()) for k in (0, 1)]), pa.array([int((own == k).sum()) for k in (0, 1)])], ["toxic", "hits", "tokens"])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -104,20 +120,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / max(1, sizes.get(1, 0)))).otherwise(min(1.0, SAMPLE / max(1, sizes.get(0, 0))))
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     # The broadcast side has about 2 * SAMPLE rows of two numbers at most
-    rows = texts(docs).where("text is not null").join(F.broadcast(taken), "doc_id").select("text", "toxic")
-    counts = rows.mapInArrow(_counted, "feature long, n long, bad long, contexts long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    rows = cut(texts(docs).where("text is not null").join(F.broadcast(taken), "doc_id").select("text", "toxic"), "labelled")
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "times", "bad_times")]
+    counts = rows.mapInArrow(_counted, "feature long, n long, bad long, times long, bad_times long, contexts long").groupBy("feature").agg(*sums, F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    counts = cut(counts.where("feature = 0 or bad > 1"), "features")
     total = counts.where("feature = 0").first()
     if total is None or not 0 < total.bad < total.n:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     base = total.bad / total.n
     bad, n = F.col("bad").cast("double"), F.col("n").cast("double")
     ratio = 2 * (F.when(bad > 0, bad * F.log(bad / (n * base))).otherwise(0.0) + F.when(n > bad, (n - bad) * F.log((n - bad) / (n * (1 - base)))).otherwise(0.0))
-    odds = F.log((bad + 0.5) / (total.bad + 1)) - F.log((n - bad + 0.5) / (total.n - total.bad + 1))
+    odds = F.log((F.col("bad_times") + 0.5) / (total.bad_times + 1)) - F.log((F.col("times") - F.col("bad_times") + 0.5) / (total.times - total.bad_times + 1))
     strong = counts.where("feature <> 0").withColumn("ratio", ratio).withColumn("weight", odds).where((bad / n > base) & (F.col("ratio") >= EVIDENCE) & (F.col("weight") >= LEAST) & (F.col("contexts") >= CONTEXTS * F.least(bad, F.lit(20.0))))
     best = strong.orderBy(F.desc("ratio"), "feature").limit(LEXICON).select("feature", "weight").collect()
     hashes = np.array([r.feature for r in best], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Lexicon(hashes[order], np.minimum(np.array([r.weight for r in best]), MOST)[order])
+    lexicon = Lexicon(hashes[order], np.minimum(np.array([r.weight for r in best], float), MOST)[order])
+    found = {r.toxic: r.hits / max(1, r.tokens) for r in rows.mapInArrow(partial(_hits, lexicon=lexicon), "toxic long, hits long, tokens long").groupBy("toxic").agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens")).collect()}
+    return lexicon._replace(rate=max(0.0, found.get(1, 0.0) - found.get(0, 0.0)))
 
 
 def _fixed() -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +188,24 @@ def clause_weight(symbols: list[int], weights: list[float]) -> float:
     return total
 
 
+def insult_weights(lexicon: Lexicon, own: list[np.ndarray]) -> np.ndarray:
+    """The greatest weight of each token's features."""
+    weight = np.zeros(len(own[0]))
+    for h in own:
+        np.maximum(weight, _lookup(lexicon.hashes, lexicon.weights, h, 0.0), out=weight)
+    return weight
+
+
+def text_weight(clauses: list[tuple[int, int, float]], tokens: int, rate: float) -> float:
+    """Log-likelihood ratio of a text of so many tokens, from the (begin, end, weight) of its clauses that have any."""
+    best = run = 0.0
+    at = 0
+    for a, b, w in clauses:
+        run = max(0.0, run - rate * (a - at)) + w - rate * (b - a)
+        best, at = max(best, run), b
+    return max(sum(w for _, _, w in clauses) - rate * tokens, best - np.log1p(tokens / RUN))
+
+
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     words, kinds = _fixed()
     for batch in batches:
@@ -175,24 +213,23 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.
         for i, j, data, off in K.slices(batch.column(0), 2 << 20):
             starts, ends, first = K.spans(data, off, K.NOT_ALNUM)
             own = features(data, starts, ends)
-            weight = np.zeros(len(starts))
-            for h in own:
-                np.maximum(weight, _lookup(lexicon.hashes, lexicon.weights, h, 0.0), out=weight)
+            weight = insult_weights(lexicon, own)
             symbol = _lookup(words, kinds, own[0], OTHER).astype(np.int64)
             symbol[weight > 0] = INSULT
             ends_clause = np.zeros(len(data) + 1, np.int64)
             np.cumsum(_CLAUSE[data], out=ends_clause[1:])
             doc = np.repeat(np.arange(j - i), np.diff(first))
             clause = ends_clause[starts]
-            cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(clause) != 0)) + 1
-            begin = np.concatenate([[0], cut])[: len(starts) and None]
-            total = np.zeros(j - i)
+            change = np.flatnonzero((np.diff(doc) != 0) | (np.diff(clause) != 0)) + 1
+            found: list[list[tuple[int, int, float]]] = [[] for _ in range(j - i)]
             if len(starts):
-                stop = np.append(cut, len(starts))
+                begin, stop = np.concatenate([[0], change]), np.append(change, len(starts))
                 hot = np.add.reduceat(((symbol == INSULT) | (symbol == THREAT)).astype(np.int64), begin) > 0
                 for a, b in zip(begin[hot].tolist(), stop[hot].tolist(), strict=True):
-                    total[doc[a]] += clause_weight(symbol[a:b].tolist(), weight[a:b].tolist())
-            out.append(1 / (1 + (1 - PRIOR) / PRIOR * np.exp(-total)))
+                    k = int(doc[a])
+                    found[k].append((a - int(first[k]), b - int(first[k]), clause_weight(symbol[a:b].tolist(), weight[a:b].tolist())))
+            total = np.array([text_weight(c, n, lexicon.rate) for c, n in zip(found, np.diff(first).tolist(), strict=True)])
+            out.append(1 / (1 + (1 - PRIOR) / PRIOR * np.exp(-np.clip(total, -500, 500))))
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate([np.zeros(0), *out]))], [*batch.schema.names[1:], "score"])
 
 
