@@ -27,63 +27,148 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import textkernel as K
-from .bpe import distinct
 from .shared import cut, shared_dir, texts
 
 VOCABULARY, END = public_tokenizers.path("word_bpe_49k.json"), 2
-LIMIT, BLOCK, CHECK, CACHE = 20, 1 << 18, 128, 400_000
+LIMIT, BLOCK, CHECK, CACHE = 20, 1 << 18, 128, 1_000_000
 RAW = "file int, block int, first long, doc_ids array<long>, lengths array<int>, ids binary"
 BLOCKS = "file int, block int, first long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints array<int>"
 
 
-class WordEncoder:
-    """Encodes spans without ASCII white space by the library; its pre-tokenizer drops white space, so a text's ids are those of its spans."""
+#: Between letters, digits and other printable signs (1, 2, 3), and between digits, the tokenizer always splits. 0: space, 4: all other bytes, beside which nothing is cut.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[K.SPACE] = 0
+_KIND[39] = 4  # 's and the like are tokens
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """_KIND of each byte, and 1 for both bytes of the letters from U+00C0 to U+00FF."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    return kind
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces that the tokenizer encodes independently: starts, ends, hashes (equal but for A-Z: alike), whether they are of one kind from 1 to 3; and the first piece of each text."""
+    starts, ends, _ = K.spans(data, off)
+    kind = kinds(data)
+    cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut &= (kind[1:] % 4 > 0) & (kind[:-1] % 4 > 0)
+    new = np.zeros(len(data) + 1, bool)
+    new[starts] = True
+    cut[new[1:-1]] = False
+    more = np.flatnonzero(cut) + 1
+    signs = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # <| may begin a special token: such words stay whole
+    if len(signs):
+        more = more[~np.isin(np.searchsorted(starts, more, "right"), np.searchsorted(starts, signs, "right"))]
+    new[more] = True
+    starts = np.flatnonzero(new[:-1])
+    ends = np.sort(np.concatenate([ends, more]))
+    hashes = K.span_hashes(data, starts, ends)
+    odd = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kind == 4, out=odd[1:])
+    plain = odd[ends] == odd[starts]
+    if len(signs):
+        whole = np.unique(np.searchsorted(starts, signs, "right") - 1)
+        hashes[whole] = K.mix(K.span_hashes(data, starts[whole], ends[whole], lower=False) ^ np.uint64(0x5D588B656C078965))
+        plain[whole] = False
+    return starts, ends, hashes, plain, np.searchsorted(starts, off)
+
+
+class PieceEncoder:
+    """Encodes pieces by the library and keeps up to about CACHE of them."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-        return [self.known[w] for w in words]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end what the library merges together
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def one_by_one(self, texts_: list[str]) -> list[np.ndarray]:
+        return [np.array(c.ids, np.uint16) for c in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def encode(self, new: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first id and number of ids of each piece). Plain pieces go to the library many at once: each gives at least one closing id, so if a line has as many of them as pieces, they tell the pieces apart."""
+        order, size, own = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), np.zeros(len(new), np.int64), [np.zeros(0, np.uint16)]
+        chunks = [where[i : i + 256] for where in [np.flatnonzero(plain)] for i in range(0, len(where), 256)]
+        for chunk, ids in zip(chunks, self.one_by_one([b" ".join([new[i] for i in c.tolist()]).decode() for c in chunks]), strict=True):
+            stop = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            if len(stop) == len(chunk) and stop[-1] == len(ids):
+                size[chunk] = np.diff(stop, prepend=0)
+                own.append(ids)
+            else:
+                told = self.one_by_one([new[i].decode() for i in chunk.tolist()])
+                size[chunk] = [len(x) for x in told]
+                own += told
+        rest = np.flatnonzero(~plain)
+        told = self.one_by_one([new[i].decode() for i in rest.tolist()])
+        size[rest] = [len(x) for x in told]
+        start = np.zeros(len(new), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([*own, *told]), start, size
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        if len(self.hashes) > CACHE:
+            self.clear()
+        own, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, own)
+        missing = np.ones(len(own), bool)
+        missing[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != own[at < len(self.hashes)]
+        if missing.any():
+            raw, where = data.tobytes(), first[missing]
+            ids, start, size = self.encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], plain[where])
+            every = np.concatenate([self.hashes, own[missing]])
+            order = np.argsort(every, kind="stable")
+            self.hashes = every[order]
+            self.start = np.concatenate([self.start, len(self.flat) + start])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.flat = np.concatenate([self.flat, ids])
+            at = np.searchsorted(self.hashes, own)
+        number = at[number]
+        return K.ragged(self.flat, self.start[number], self.size[number]), self.size[number]
 
 
 @lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     file, block, first, size = TaskContext.get().partitionId(), 0, 0, 0
     docs, lengths, parts = [], [], []
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], np.uint16)
 
     def row() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), "<u4").astype("<u2")
+        ids = np.concatenate(parts).astype("<u2")
         return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([ids.view(np.uint8).reshape(-1, 2).T.tobytes()], pa.binary())], [x.split()[0] for x in RAW.split(", ")])
 
     for batch in batches:
         for i, j, data, off in K.slices(batch.column(1)):
-            starts, ends, at = K.spans(data, off)
-            own, number = distinct(data, starts, ends)
-            coded = encoder(path).ids(own)
-            number, at = number.tolist(), at.tolist()
-            for doc, a, b in zip(batch.column(0)[i:j].to_pylist(), at[:-1], at[1:], strict=True):
-                ids = b"".join([*map(coded.__getitem__, number[a:b]), tail])
-                n = len(ids) // 4
+            *own, at = pieces(data, off)
+            ids, n_ids = encoder(path).ids(data, *own)
+            total = np.zeros(len(n_ids) + 1, np.int64)
+            np.cumsum(n_ids, out=total[1:])
+            bounds = total[at].tolist()
+            for doc, a, b in zip(batch.column(0)[i:j].to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                n = b - a + 1
                 if docs and size + n > BLOCK:
                     yield row()
                     block, first, size, docs, lengths, parts = block + 1, first + size, 0, [], [], []
                 docs.append(doc)
                 lengths.append(n)
-                parts.append(ids)
+                parts += [ids[a:b], tail]
                 size += n
     if docs:
         yield row()

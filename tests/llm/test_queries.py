@@ -254,3 +254,23 @@ def test_links_are_kept_whole(spark):
     rows = [(i, " ".join(f"x{k}" if k < 12 * i else w for k, w in enumerate(base))) for i in range(12)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_pieces_of_words_give_the_library_s_ids():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pixweft.llm import textkernel
+
+    rng = random.Random(7)
+    signs = [*"abzABZ019.,'<|>-!  \n\t", "é", "Ñ", "ß", "×", "÷", "İ", "ſ", "K", "́", "⃣", "\xa0", "…", "—", "’", "漢", "😀", "\x00", "\x1c", "\x7f", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "¼", "٣", "ﬁ"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(20)]
+        data, off = textkernel.buffers(pa.array(texts, pa.large_string()))
+        *own, at = idfile.pieces(data, off)
+        ids, n = idfile.encoder(idfile.VOCABULARY).ids(data, *own)
+        bounds = np.concatenate([[0], np.cumsum(n)])[at]
+        for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == brute.tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
