@@ -24,7 +24,7 @@ component. A null doc_id has a null component and is not kept. Repeated rows are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -37,7 +37,7 @@ from .components import components
 from .shared import cut, texts
 
 SIDE, BAND, SHINGLE, PERCENT = 8, 2, 5, 85
-DIFFER, SHARP, SHARP_DIFFER, BLOCK, STEP = 15, 256, 64, 256, 1 << 19
+DIFFER, SHARP, SHARP_DIFFER, BLOCK, STEP, MARKS = 15, 256, 64, 2048, 1 << 19, 26
 _HASHES = 2 * SIDE * BAND
 _SKETCH = [f"s{k}" for k in range(_HASHES // 8)]
 
@@ -101,18 +101,31 @@ def _minima(every: np.ndarray, begins: np.ndarray, n: int, seed: int) -> Iterato
         yield np.minimum.reduceat(x, begins)
 
 
-def _sharp_sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose last column is marked."""
     for batch in batches:
+        if marks is None:
+            yield batch
+            continue
+        m = batch.column(2).to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array((marks[m >> 6] >> (m & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+
+def _sharp_sketches(batches: Iterator[pa.RecordBatch], n: int, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for batch in _marked(batches, marks):
         for i, j, data, off in K.slices(batch.column(1)):
             sets = list(shingle_sets(data, off, n))
+            if not sum(map(len, sets)):
+                continue
+            sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]  # rows marked by chance
             begins = np.zeros(len(sets), np.int64)
             np.cumsum([len(s) for s in sets[:-1]], out=begins[1:])
             sketch = np.stack([(K.mix(x) & np.uint64(255)).astype(np.uint8) for x in _minima(np.concatenate(sets), begins, SHARP, 4)], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "sharp"])
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _full_sets(batches: Iterator[pa.RecordBatch], n: int, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for batch in _marked(batches, marks):
         for i, j, data, off in K.slices(batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in shingle_sets(data, off, n)], pa.binary())], ["id", "full"])
 
@@ -129,15 +142,36 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _rows_of(docs: DataFrame, ids: DataFrame, sets: Callable, n: int, kinds: str, name: str) -> DataFrame:
+    """What `sets` makes of the texts with the given ids (a table with the column id), written to the shared folder.
+
+    Texts are read again and don't move: a table of 2 ** MARKS bits, whatever the number of ids, tells the tasks which rows to take. If it fills, more rows
+    are taken than asked for; the join after it drops those.
+    """
+    mark = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << MARKS))
+    words = ids.select(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << MARKS)).alias("m")).groupBy(F.expr("shiftright(m, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("bits"))
+    got = words.toArrow()
+    marks = np.zeros(1 << (MARKS - 6), np.uint64)
+    marks[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    plain = texts(docs).where("doc_id is not null").select("doc_id", "text", mark.alias("mark"))
+    return cut(plain.mapInArrow(lambda batches: sets(batches, n, shared.value), kinds), name)
+
+
 def _links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = cut(rows.mapInArrow(partial(_full_sets, n=n), "id long, full binary"), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    full = _one_each(_rows_of(docs, ids, _full_sets, n, "id long, full binary", "sets"), "id")
     both = pairs.join(full.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
     return both.select("a", "b", "full_a", "full_b").mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
 
 
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key. Keys that come twice are rare: rows move only if there is one."""
+    twice = rows.groupBy(key).count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates([key]) if twice else rows
+
+
 def _differing(a: str, b: str) -> str:
     """SQL: in how many of 8 bytes two longs differ."""
     x = f"({a} ^ {b})"
@@ -213,9 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -
     sig = cut(texts(docs).mapInArrow(partial(_signatures, n=n), kinds), "signatures")
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     least = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    # dropDuplicates: a doc_id may come twice
-    reps = sets.join(least.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id").drop("d1", "d2")
-    reps = cut(reps, "representatives")
+    reps = sets.join(least.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id").drop("d1", "d2")
+    reps = _one_each(cut(reps, "representatives"), "id")
     keys = reps.select("id", _table_keys())
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(heads, "key").where("id <> head").select("key", "table", "id", "head", "size"), "members")
@@ -228,8 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -
     named = members.where("size > 2").join(label, "id", "left").select("key", "table", "id", "size", F.coalesce("component", "id").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     named = cut(named.join(split, "key", "left_semi"), "split")
-    rows = texts(docs).join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sharp = rows.mapInArrow(partial(_sharp_sketches, n=n), "id long, sharp binary")
+    sharp = _one_each(_rows_of(docs, named, _sharp_sketches, n, "id long, sharp binary", "sharp"), "id").join(named.select("id").distinct(), "id", "left_semi")
     known = cut(reps.select("id", "n_shingles", "bands", F.expr(f"unhex(concat({', '.join(f'lpad(hex({c}), 16, {chr(39)}0{chr(39)})' for c in _SKETCH)}))").alias("sketch")).join(sharp, "id"), "sketches")
     dealt = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "table", "id", "c")
