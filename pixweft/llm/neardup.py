@@ -11,7 +11,8 @@ most 2 * (1 - 0.85 ** BAND) ** SIDE = 7e-5.
 Inside a table key, all members are first compared with the least one, so a large group of
 near copies costs one comparison per member and key. What these links leave in different
 components is then compared across components: a key's members are dealt into blocks of about
-BLOCK, pairs of blocks into tasks, and only the first key that a pair shares passes it on.
+BLOCK members or BLOCK_SHINGLES shingles, pairs of blocks into tasks. Pairs never leave a task: members that may link across components, at the first key that they share,
+go on with their full sets, and of a task's links as many are kept as connect its members.
 
 Pairs whose sizes can't reach the threshold are dropped before their sets are read, and so are pairs that
 differ in more than DIFFER of the 2 * SIDE * BAND minima (a byte of each) or, across
@@ -37,7 +38,7 @@ from .components import components
 from .shared import cut, texts
 
 SIDE, BAND, SHINGLE, PERCENT = 8, 2, 5, 85
-DIFFER, SHARP, SHARP_DIFFER, BLOCK, STEP, MARKS = 15, 256, 64, 2048, 1 << 19, 26
+DIFFER, SHARP, SHARP_DIFFER, BLOCK, BLOCK_SHINGLES, STEP, MARKS = 15, 256, 64, 2048, 8 << 20, 1 << 19, 26
 _HASHES = 2 * SIDE * BAND
 _SKETCH = [f"s{k}" for k in range(_HASHES // 8)]
 
@@ -130,15 +131,18 @@ def _full_sets(batches: Iterator[pa.RecordBatch], n: int, marks: np.ndarray | No
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in shingle_sets(data, off, n)], pa.binary())], ["id", "full"])
 
 
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([one, two])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("full_a"), batch.column("full_b"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= percent * (len(both) - common))
+            keep.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -160,7 +164,7 @@ def _rows_of(docs: DataFrame, ids: DataFrame, sets: Callable, n: int, kinds: str
 
 def _links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
     full = _one_each(_rows_of(docs, ids, _full_sets, n, "id long, full binary", "sets"), "id")
     both = pairs.join(full.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
     return both.select("a", "b", "full_a", "full_b").mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
@@ -195,9 +199,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _near_pairs(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """The pairs (a, b) of rows with equal (key, p, q), which follow each other, that may link and have no earlier key in common."""
-    key, p, q, side, table, ids, size, c = (rows.column(k).to_numpy() for k in range(8))
+def _near_pairs(rows: pa.RecordBatch, percent: int) -> np.ndarray:
+    """The pairs (a, b) of places of rows with equal (key, p, q), which follow each other, that may link and have no earlier key in common."""
+    key, p, q, side, table, _, size, c = (rows.column(k).to_numpy() for k in range(8))
     bands = rows.column(8).flatten().to_numpy().reshape(-1, 2 * SIDE)
     sketch, sharp = _matrix(rows.column(9), _HASHES), _matrix(rows.column(10), SHARP)
     new = np.flatnonzero((np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
@@ -218,13 +222,43 @@ def _near_pairs(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
         keep = same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == table[a]
         a, b = a[keep], b[keep]
         keep = (sharp[a] != sharp[b]).sum(axis=1) <= SHARP_DIFFER
-        out.append(np.stack([ids[a[keep]], ids[b[keep]]]))
+        out.append(np.stack([a[keep], b[keep]]))
         i = j
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def _taking_part(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The rows that are in some pair."""
+    return rows.take(pa.array(np.unique(_near_pairs(rows, percent))))
+
+
+def _linked(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The links (a, b) of rows, confirmed on the full sets; of what they connect, as many as connect it."""
+    ids, c, full = rows.column(5).to_numpy(), rows.column(7).to_numpy(), rows.column(11)
+    up = {int(x): int(x) for x in c}
 
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, np.ndarray] = {}
+    found = []
+    for x, y in _near_pairs(rows, percent).T.tolist():
+        one, two = root(int(c[x])), root(int(c[y]))
+        if one == two:
+            continue
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = np.frombuffer(full[k].as_buffer(), np.uint64)
+        if _similar(sets[x], sets[y], percent):
+            found.append(sorted((int(ids[x]), int(ids[y]))))
+            up[max(one, two)] = min(one, two)
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], work: Callable, percent: int) -> Iterator[pa.RecordBatch]:
     """Groups of rows may go on in the next batch: the last one, of at most about two blocks, waits for it."""
     rest = None
     for batch in batches:
@@ -235,10 +269,14 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             x = batch.column(k).to_numpy()
             same &= x == x[-1]
         cut_at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        yield _near_pairs(batch.slice(0, cut_at), percent)
+        yield work(batch.slice(0, cut_at), percent)
         rest = batch.slice(cut_at)
     if rest is not None:
-        yield _near_pairs(rest, percent)
+        yield work(rest, percent)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
@@ -249,26 +287,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -
     least = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     reps = sets.join(least.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id").drop("d1", "d2")
     reps = _one_each(cut(reps, "representatives"), "id")
-    keys = reps.select("id", _table_keys())
+    keys = reps.select("id", "n_shingles", _table_keys())
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = cut(keys.join(heads, "key").where("id <> head").select("key", "table", "id", "head", "size"), "members")
+    members = cut(keys.join(heads, "key").where("id <> head").select("key", "table", "id", "n_shingles", "head", "size"), "members")
     slim = reps.select("id", "n_shingles", *_SKETCH)
     stars = members.select("head", "id").distinct().join(slim.alias("b"), "id").join(slim.withColumnRenamed("id", "head").alias("a"), "head")
     first = cut(stars.where(F.expr(_may_link(percent))).select(F.col("head").alias("a"), F.col("id").alias("b")), "pairs")
     links = cut(_links(first, docs, percent, n), "links")
     # What is left: members of one key that are still in different components, the heads compared already
     label = components(links)
-    named = members.where("size > 2").join(label, "id", "left").select("key", "table", "id", "size", F.coalesce("component", "id").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    named = cut(named.join(split, "key", "left_semi"), "split")
+    named = members.where("size > 2").join(label, "id", "left").select("key", "table", "id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("key", "blocks")
+    named = cut(named.join(split, "key"), "split")
     sharp = _one_each(_rows_of(docs, named, _sharp_sketches, n, "id long, sharp binary", "sharp"), "id").join(named.select("id").distinct(), "id", "left_semi")
-    known = cut(reps.select("id", "n_shingles", "bands", F.expr(f"unhex(concat({', '.join(f'lpad(hex({c}), 16, {chr(39)}0{chr(39)})' for c in _SKETCH)}))").alias("sketch")).join(sharp, "id"), "sketches")
-    dealt = named.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "table", "id", "c")
+    known = cut(reps.select("id", "bands", F.expr(f"unhex(concat({', '.join(f'lpad(hex({c}), 16, {chr(39)}0{chr(39)})' for c in _SKETCH)}))").alias("sketch")).join(sharp, "id"), "sketches")
+    dealt = named.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "table", "id", "n_shingles", "c")
     dealt = dealt.join(known, "id").select("key", "p", "q", "side", "table", "id", "n_shingles", "c", "bands", "sketch", "sharp")
-    more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()
-    more = cut(more, "pairs")
-    label = components(links.unionByName(_links(more, docs, percent, n)))
+    kinds = "key long, p long, q long, side int, table int, id long, n_shingles long, c long, bands array<long>, sketch binary, sharp binary"
+    part = cut(_grouped(dealt).mapInArrow(partial(_by_group, work=_taking_part, percent=percent), kinds), "part")
+    full = _one_each(_rows_of(docs, part, _full_sets, n, "id long, full binary", "sets"), "id")
+    more = _grouped(part.join(full, "id").select(*part.columns, "full")).mapInArrow(partial(_by_group, work=_linked, percent=percent), "a long, b long")
+    label = components(links.unionByName(more))
     klass = least.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("d1", "d2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
     return (
