@@ -28,7 +28,7 @@ from . import textkernel as K
 from .shared import texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-SLICE, CACHE = 8 << 20, 400_000
+SLICE, CACHE = 2 << 20, 200_000
 _NONE = np.int64(1 << 40)
 _SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -202,24 +202,20 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[li
     return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], number
 
 
-def id_lists(ids: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
     for batch in batches:
         for i, j, data, off in K.slices(batch.column(1), SLICE):
             starts = chunk_starts(data, off)
-            ends = np.append(starts[1:], len(data))
-            own, number = distinct(data, starts, ends)
-            ids = vocab.chunk_ids(own)
-            first = np.searchsorted(starts, off).tolist()
-            number = number.tolist()
-            out = [b"".join(map(ids.__getitem__, number[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], id_lists(out)], ["doc_id", "ids"])
+            own, number = distinct(data, starts, np.append(starts[1:], len(data)))
+            coded = vocab.chunk_ids(own)
+            size = np.array([len(x) // 4 for x in coded], np.int64)
+            begin = np.cumsum(size) - size
+            ids = K.ragged(np.frombuffer(b"".join(coded), np.int32), begin[number], size[number])
+            total = np.zeros(len(number) + 1, np.int64)
+            np.cumsum(size[number], out=total[1:])
+            lists = pa.ListArray.from_arrays(pa.array(total[np.searchsorted(starts, off)].astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -228,12 +224,23 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    table = vocabulary(path).bytes
+    vocab = vocabulary(path)
+    size = np.array([len(x) for x in vocab.bytes], np.int64)
+    begin, every = np.cumsum(size) - size, np.frombuffer(b"".join(vocab.bytes), np.uint8)
     for batch in batches:
-        column = batch.column(1)
-        flat, off = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-        out = [b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+        off = batch.column(1).offsets.to_numpy().astype(np.int64)
+        ids, n, i = batch.column(1).values.to_numpy(zero_copy_only=False), len(off) - 1, 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE // 4, "right")) - 1)
+            own = ids[off[i] : off[j]]
+            raw = K.ragged(every, begin[own], size[own]).tobytes()
+            total = np.zeros(len(own) + 1, np.int64)
+            np.cumsum(size[own], out=total[1:])
+            bounds = total[off[i : j + 1] - off[i]].tolist()
+            out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+            i = j
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
