@@ -21,7 +21,7 @@ def ranks(lengths: DataFrame) -> DataFrame:
 
 def canonical(lengths: DataFrame) -> DataFrame:
     """Column code: the canonical code, and reversed: its bits as a reader meets them, lowest first."""
-    share = F.shiftleft(F.lit(1).cast("bigint"), (F.lit(MAX_LENGTH) - F.col("len")).cast("int"))
+    share = F.expr(f"shiftleft(1L, cast({MAX_LENGTH} - len as int))")
     earlier = W.partitionBy("tree").orderBy("len", "symbol").rowsBetween(W.unboundedPreceding, -1)
     coded = lengths.where("len > 0").withColumn("left", F.coalesce(F.sum(share).over(earlier), F.lit(0)))
     coded = coded.withColumn("code", F.expr(f"shiftright(left, cast({MAX_LENGTH} - len as int))")).drop("left")
@@ -34,7 +34,7 @@ def validity(lengths: DataFrame) -> DataFrame:
     It takes trees with lengths of 0 to 15, a coded symbol and no over-full code; under-full codes pass. A single coded symbol reads no bits.
     """
     legal = F.col("len").between(0, MAX_LENGTH)
-    share = F.when(legal & (F.col("len") > 0), F.shiftleft(F.lit(1).cast("bigint"), (F.lit(MAX_LENGTH) - F.col("len")).cast("int"))).otherwise(0)
+    share = F.when(legal & (F.col("len") > 0), F.expr(f"shiftleft(1L, cast({MAX_LENGTH} - len as int))")).otherwise(0)
     out = lengths.groupBy("tree").agg(F.sum((F.col("len") > 0).cast("bigint")).alias("coded"), F.sum(share).alias("space"), F.bool_and(legal).alias("legal"))
     return out.select("tree", "coded", "space", (F.col("legal") & (F.col("coded") > 0) & (F.col("space") <= 32768)).alias("valid"), (F.col("coded") == 1).alias("reads_no_bits"))
 

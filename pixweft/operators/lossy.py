@@ -187,11 +187,12 @@ def macroblock_edge(df: DataFrame, hev: str = "hev", interior: str = "interior",
 
 
 def yuv_to_bgra(luma: DataFrame, chroma: DataFrame) -> DataFrame:
-    """(image_id, y, x, b, g, r, a): luma (image_id, y, x, Y) joined with chroma (image_id, y, x, U, V) of half the size."""
-    half = chroma.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "U", "V")
+    """(image_id, y, x, b, g, r, a): samples luma (image_id, y, x, luma) joined with chroma (image_id, y, x, cb, cr) of half the size."""
+    half = chroma.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "cb", "cr")
     joined = luma.withColumns({"_y": P.shift("y", 1), "_x": P.shift("x", 1)}).join(half, ["image_id", "_y", "_x"])
-    y, u, v = P.long("Y") - 16, P.long("U") - 128, P.long("V") - 128
-    return joined.select("image_id", "y", "x", P.clip(P.shift(298 * y + 516 * u + 128, 8)).alias("b"), P.clip(P.shift(298 * y - 100 * u - 208 * v + 128, 8)).alias("g"), P.clip(P.shift(298 * y + 409 * v + 128, 8)).alias("r"), F.lit(255).cast("bigint").alias("a"))
+    base, u, v = 298 * (P.long("luma") - 16), P.long("cb") - 128, P.long("cr") - 128
+    sample = lambda c: P.clip(P.shift(c + 128, 8))
+    return joined.select("image_id", "y", "x", sample(base + 516 * u).alias("b"), sample(base - 100 * u - 208 * v).alias("g"), sample(base + 409 * v).alias("r"), F.lit(255).cast("bigint").alias("a"))
 
 
 def token_partitions(frames: DataFrame) -> DataFrame:
