@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import cut, texts
+from .shared import texts, without
 
 MATCH, COVERAGE, BLOCK = 5, 0.5, 8 << 20
 SCHEMA = "doc_id long, item_id long, n_tiles int, covered int, item_tokens int, coverage double"
@@ -134,5 +134,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, n: int
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item; rows with a null doc_id stay."""
-    bad = cut(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct().withColumnRenamed("doc_id", "leaked_id"), "leaks")
-    return docs.join(bad, docs["doc_id"] == bad["leaked_id"], "left_anti")
+    return without(docs, leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, neardup, quality
-from .shared import cut
+from .shared import without
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates, with its columns; of rows with one doc_id one stays, and all rows without doc_id."""
-    gone = neardup.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(cut(gone, "gone"), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = neardup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
+    left = without(docs, gone, "gone")
     repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null")) if repeated else left
 
