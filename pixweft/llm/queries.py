@@ -55,4 +55,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination)}
-ORACLE: dict[str, str] = {}
+
+
+def _op2_sql() -> str:
+    """The turns' calls and results by their keys; chains by recursion."""
+    return """with recursive u as (select conv_id || '-' || turn as call_id, conv_id, turn, text, conv_id || '-' || (turn - 2) as up from conversations where role = 'user'),
+    a as (select conv_id || '-' || (turn - 1) as call_id, conv_id, turn, text from conversations where role = 'assistant'),
+    chain as (select call_id, 0 as level from u where up not in (select call_id from u) union all select u.call_id, level + 1 from u join chain on u.up = chain.call_id),
+    j as (select coalesce(u.call_id, a.call_id) as call_id, coalesce(u.conv_id, a.conv_id) as conv_id, coalesce(u.turn, a.turn) as turn, level, u.call_id is not null as called, a.call_id is not null as answered, u.turn as asked, u.text as said, a.text as content
+        from u full outer join a on u.call_id = a.call_id left join chain on chain.call_id = u.call_id)
+    select call_id, conv_id, turn, level::bigint as level, case when called then 'reply' end as tool, case when not called then 'orphan' when answered then 'linked' else 'unanswered' end as status,
+        case when called then said is not null end as valid, case when called and said is null then 'missing text' else '' end as errors,
+        '{"arguments":' || case when called then '{' || coalesce('"text":' || to_json(said) || ',', '') || '"turn":' || asked || '}' else 'null' end || ',"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content)::varchar, 'null') || ',"tool":' || case when called then '"reply"' else 'null' end || '}' as message from j"""
+
+
+def _op3_sql() -> str:
+    low = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    order = sorted(urls.SITES, key=lambda s: -len(s.host + s.path))
+    fits = {s: f"(host = '{s.host}' or ends_with(host, '.{s.host}')) and starts_with(path, '{s.path}')" for s in order}
+    rule, verdict = ("case " + " ".join(f"when {fits[s]} then '{v(s)}'" for s in order) for v in (lambda s: s.host + s.path, lambda s: s.verdict))
+    method = " or ".join(f"regexp_matches(coalesce({low('url')}, ''), '{p.regex}', 's')" for p in urls.PATTERNS)
+    return f"""with p as (select page_id::bigint as page_id, url, {low("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages)
+    select page_id, host, path, {rule} end as rule, {verdict} when {method} then 'block' else 'allow' end as verdict from p"""
+
+
+ORACLE: dict[str, str] = {"op2_chat_formatting": _op2_sql(), "op3_url_filters": _op3_sql()}

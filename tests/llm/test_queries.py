@@ -274,3 +274,18 @@ def test_pieces_of_words_give_the_library_s_ids():
         bounds = np.concatenate([[0], np.cumsum(n)])[at]
         for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
             assert ids[a:b].tolist() == brute.tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("conversations", "pages"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLE[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    assert {c: {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}[k] for c, k in got.dtypes} == dict(zip(want.columns, map(str, want.types), strict=True))
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(want.select(*names).fetchall())
