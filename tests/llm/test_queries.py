@@ -248,6 +248,15 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-5
 
 
+def test_model_learns_from_the_ends_of_long_texts(spark):
+    """An order of words that comes after character 4,000 alone."""
+    loop = "zum zam zim zom " * 150
+    rows = [(i, f"{prose(i, 1000)} {loop}") for i in range(60)] + [(100 + i, loop) for i in range(60)]
+    rows = [r for r in rows if (brute.zlib.crc32(str(r[0]).encode()) % 10 == 0) == (r[0] >= 100)]
+    got = [r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert got and all(r.score > 0.6 * r.base_score for r in got)
+
+
 def test_links_are_kept_whole(spark):
     """A chain of copies, each a little further from the first: only neighbours are linked, all are one component."""
     base = [f"w{k}" for k in range(400)]
