@@ -40,7 +40,7 @@ PATTERNS = (
     Pattern("ad server", r"://([^/?#]*\.)?ads\.[a-z0-9-]+\.", ("ads",)),
     Pattern("spam farm", r"://([^/?#]*[.-])?spam-farm[.-]", ("spam", "farm")),
     Pattern("casino", r"://([^/?#]*[.-])?casino(-[a-z]+)?[.-]", ("casino",)),
-    Pattern("bets", r"://([^/?#]*[.-])?free-bets?[.-]", ("free", "bets")),
+    Pattern("bets", r"://([^/?#]*[.-])?free-bets?[.-]", ("free",)),
     Pattern("adult", r"://([^/?#]*[.-])?adult-x[.-]", ("adult",)),
     Pattern("adult tubes", r"[./_-]porn(-tube)?[./_-]", ("porn",)),
     Pattern("pills", r"://([^/?#]*[.-])?cheap-pills[.-]", ("cheap", "pills")),

@@ -257,6 +257,39 @@ def test_model_learns_from_the_ends_of_long_texts(spark):
     assert got and all(r.score > 0.6 * r.base_score for r in got)
 
 
+URLS = {
+    "ad tracker": ["http://ads-track.net/", "http://x.ads-track-y.io/"],
+    "ad server": ["http://ads.foo.net/", "http://x.ads.foo.net/"],
+    "spam farm": ["http://spam-farm.net/", "http://x-spam-farm-y.net/"],
+    "casino": ["http://casino.net/", "http://casino-royal.net/", "http://x.casino-y.net/"],
+    "bets": ["http://free-bet.example.net/", "http://free-bets.example.net/", "http://x.free-bet-y.net/"],
+    "adult": ["http://adult-x.net/", "http://y.adult-x-z.net/"],
+    "adult tubes": ["http://porn.net/", "http://a.net/x-porn-tube/"],
+    "pills": ["http://cheap-pills.net/", "http://x.cheap-pills-y.net/"],
+    "warez": ["http://a.net/warez/"],
+    "phishing": ["http://a.net/verify-your-account/"],
+    "link farm": ["http://link-farm.net/", "http://x.link-farm-y.net/"],
+    "session page": ["http://a.net/?phpsessid=0a", "http://a.net/?b;phpsessid=f"],
+}
+
+
+def test_patterns_find_their_urls_by_each_token():
+    """Whichever token is the rarest, a url with or without the optional parts fetches the rule."""
+    assert set(URLS) == {p.name for p in urls.PATTERNS}
+    for p in urls.PATTERNS:
+        for rarest in p.tokens:
+            filed = urls.index((p,), {t: 1 + (t != rarest) for t in p.tokens})
+            assert list(filed) == [rarest]
+            for url in URLS[p.name]:
+                assert brute.re.search(p.regex, url)
+                assert rarest in urls._TOKEN.findall(url), (p.name, rarest, url)
+
+
+def test_verdict_of_a_single_free_bet(spark):
+    got = urls.judge(spark.createDataFrame([(1, "http://free-bet.example.net/")], "page_id long, url string")).first()
+    assert (got.verdict, got.pattern) == ("block", "bets")
+
+
 def test_links_are_kept_whole(spark):
     """A chain of copies, each a little further from the first: only neighbours are linked, all are one component."""
     base = [f"w{k}" for k in range(400)]
