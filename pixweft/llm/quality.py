@@ -24,7 +24,8 @@ from .shared import texts
 
 MIN_WORDS, REPEAT_PERCENT, LEVEL, CHUNK, BAD_SHARE = 50, 50, 3, 4096, 0.34
 #: (bytes from, lowest ratio, highest ratio); between two rows the limits run linearly in log2 of the bytes.
-BANDS = ((1, 0.0, 16.0), (64, 0.0, 2.0), (256, 0.45, 1.05), (512, 0.465, 0.88), (1024, 0.445, 0.82), (2048, 0.43, 0.78), (4096, 0.415, 0.75), (8192, 0.4, 0.72), (16384, 0.39, 0.7), (32768, 0.38, 0.68), (65536, 0.37, 0.68))
+#: From 2 MB, the window of level 3, the ratio of clean text stays as it is.
+BANDS = ((1, 0.0, 16.0), (64, 0.0, 2.0), (256, 0.45, 1.05), (512, 0.465, 0.88), (1024, 0.445, 0.82), (2048, 0.43, 0.78), (4096, 0.415, 0.75), (8192, 0.4, 0.72), (16384, 0.39, 0.7), (32768, 0.38, 0.68), (65536, 0.37, 0.68), (131072, 0.36, 0.68), (262144, 0.355, 0.68), (524288, 0.345, 0.68), (1048576, 0.34, 0.68), (2097152, 0.335, 0.68))
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 

@@ -199,6 +199,18 @@ def test_quality_bands_reject_repetition_and_noise(spark):
     assert got[1].band_failed and got[2].band_failed
 
 
+def test_quality_bands_keep_clean_long_texts(spark):
+    """1 MB or more of sentences that differ; repeated at a distance, they fail."""
+    sentences = {}
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang != 'en' and length(text) < 200000").select("doc_id", "text", "lang").orderBy("doc_id").collect():
+        sentences.setdefault(r.lang, {}).update(dict.fromkeys(x for x in brute.re.split(r"(?<=[.!?])\s+", r.text) if 40 <= len(x) <= 400))
+    clean = [" ".join(s) for s in sentences.values()]
+    clean = [t for t in clean if len(t) >= 1 << 20]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, " ".join([t[: 1 << 18]] * 5)) for i, t in enumerate(clean)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean and [i for i, r in sorted(got.items()) if r.band_failed] == [100 + i for i in range(len(clean))]
+
+
 def test_language_score_and_whole_text(spark):
     docs = odd_documents(spark)
     one = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs).where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
