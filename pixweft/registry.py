@@ -345,3 +345,50 @@ def argb_to_bgra(spark, sf):
 @query(f"with {LINES} select image_id, pos, g from li")
 def extract_green(spark, sf):
     return lines(spark, sf).withColumn("argb", P.argb("a", "r", "g", "b")).select("image_id", "pos", P.channel("argb", "g").alias("g"))
+
+
+# Whole tables: the same operators as above, which take a part
+
+
+@query(f"with {PX} select image_id, y, x * 2 + k as x, (v >> (k * 4)::int) & 15 as index from px, range(0, 2) as t(k)")
+def palette_unpack_whole(spark, sf):
+    return lossless.palette_unpack(px(spark, sf), 16, 16, "v")
+
+
+@query(f"with {PX}, r as (select image_id as tree, y * 8 + x as pos, v % 16 as value, k from px, range(1, 6) as t(k) where k <= 1 + v % 5) select tree, row_number() over (partition by tree order by pos, k) - 1 as place, value as len from r")
+def run_expansion_whole(spark, sf):
+    return codes.expand_runs(px(spark, sf).selectExpr("image_id as tree", "y * 8 + x as pos", "v % 16 as value", "1 + v % 5 as repeat"))
+
+
+@query(f"with {LINES}, p as (select image_id, pos, b % 16 as n, (r - 128) * (case when b % 16 = 0 then {tables.DC_STEPS}[(g % 128 + 1)::int] else {tables.AC_STEPS}[(g % 128 + 1)::int] end) as product from li) select image_id, pos, n, {tables.ZIGZAG}[(n + 1)::int]::bigint as place, case when product > 32767 then product - 65536 when product < -32768 then product + 65536 else product end as value from p")
+def dequantize_whole(spark, sf):
+    levels = lines(spark, sf).selectExpr("image_id", "pos", "g % 128 as q", "b % 16 as n", "r - 128 as level")
+    return lossy.dequantize(levels, F.broadcast(lossy.steps(spark)), ["q"]).select("image_id", "pos", "n", "place", "value")
+
+
+_ALL_BLOCKS = f"{PX}, blk as (select image_id, (y // 4) * 2 + x // 4 as block, list(v - 128 order by y, x) as c from px group by all)"
+
+
+def _all_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The four 4x4 blocks of each image; image_id holds both until _block_values."""
+    return compose.as_planes(px(spark, sf).selectExpr("image_id * 4 + y div 4 * 2 + x div 4 as image_id", "y", "x", "v - 128 as c"), 4, 4, "c")
+
+
+def _block_values(df: DataFrame, name: str) -> DataFrame:
+    return _values(df, name).selectExpr("image_id div 4 as image_id", "image_id % 4 as block", "i", "value")
+
+
+@query(f"with {_ALL_BLOCKS}, one as (select image_id, block, [{_WHT_ROWS}] as t from blk), two as (select image_id, block, [{_WHT}] as o from one) select image_id, block, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
+def iwht4x4_whole(spark, sf):
+    return _block_values(lossy.inverse_wht(_all_blocks(spark, sf)), "wht")
+
+
+@query(f"with {_ALL_BLOCKS}, one as (select image_id, block, c, [{_DCT_COLUMNS}] as t from blk), two as (select image_id, block, [{_DCT}] as o from one) select image_id, block, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
+def idct4x4_whole(spark, sf):
+    return _block_values(lossy.inverse_dct(_all_blocks(spark, sf).withColumn("pred", F.transform("c", lambda v: v + 128))), "pixels")
+
+
+@query(f"with {PX} select image_id, ((sum(v) + count(*) // 2) // count(*))::bigint as dc from px where y = 0 or x = 0 group by image_id")
+def dc_predict_whole(spark, sf):
+    p = px(spark, sf)
+    return lossy.dc_prediction(p.where("y = 0 or x = 0"), p.where("y = 0 and x = 0").select("image_id"), ["image_id"])

@@ -29,3 +29,22 @@ def test_query_matches_sql(spark, duck, name):
     order = lambda rows: sorted(rows, key=repr)
     rows = order(tuple(r) for r in got.select(*names).collect())
     assert rows and rows == order(want.select(*names).fetchall())
+
+
+def test_whole_tables_are_taken(spark, duck):
+    images, rows = duck.sql("select count(*) from embeddings").fetchall()[0][0], duck.sql("select count(*) from lineitem").fetchall()[0][0]
+    for name, n in (("palette_unpack_whole", 128 * images), ("iwht4x4_whole", 64 * images), ("idct4x4_whole", 64 * images), ("dc_predict_whole", images), ("dequantize_whole", rows)):
+        assert registry.QUERIES[name](spark, SF).count() == n, name
+    assert registry.QUERIES["run_expansion_whole"](spark, SF).select("tree").distinct().count() == images
+
+
+def test_blocks_without_edges(spark):
+    edges = spark.createDataFrame([(1, 10), (1, 13)], "image_id long, v long")
+    got = registry.lossy.dc_prediction(edges, spark.createDataFrame([(1,), (2,)], "image_id long"), ["image_id"])
+    assert {r.image_id: r.dc for r in got.collect()} == {1: 12, 2: 128}
+
+
+def test_products_wrap_to_16_bits(spark):
+    levels = spark.createDataFrame([(127, 1, level) for level in (-128, -116, 115, 116, 127)], "q long, n long, level long")
+    got = registry.lossy.dequantize(levels, registry.lossy.steps(spark), ["q"])
+    assert {r.level: r.value for r in got.collect()} == {-128: 29184, -116: 32592, 115: 32660, 116: -32592, 127: -29468}
