@@ -92,7 +92,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schema) -> Da
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain turns: a user turn calls `reply` after the call two turns before; an assistant turn answers the turn before it."""
+    """Calls and results of plain turns: a user turn calls `reply` after the call two turns before; an assistant turn answers the turn before it. Turns of other roles (system, null, other spellings) are neither and give no row."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     at = lambda back: F.concat_ws("-", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("conv_id").cast("string")), (F.col("turn") - back).cast("string"))
     key = lambda back: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), at(back))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from pixweft.llm import bpe, idfile, langid, lm, neardup, quality, queries, toxicity, urls
+from pixweft.llm import bpe, chat, idfile, langid, lm, neardup, quality, queries, toxicity, urls
 
 from . import brute
 from .tables import clashing, odd_documents, odd_rows, prose
@@ -302,6 +302,12 @@ def test_verdict_of_a_single_free_bet(spark):
     assert (got.verdict, got.pattern) == ("block", "bets")
 
 
+def test_turns_of_other_roles_are_no_calls(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, None, "n"), (1, 4, "User", "x")]
+    calls, results = chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [r.turn for r in calls.collect()] == [1] and [r.turn for r in results.collect()] == [2]
+
+
 def test_links_are_kept_whole(spark):
     """A chain of copies, each a little further from the first: only neighbours are linked, all are one component."""
     base = [f"w{k}" for k in range(400)]
