@@ -196,8 +196,12 @@ def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct spans, and for each span the number of its own."""
+    """The distinct spans, and for each span the number of its own. A span that shares its hash with another, but not its bytes, is listed alone."""
     _, first, number = np.unique(K.span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+    like = first[number]
+    odd = np.flatnonzero(~K.same_spans(data, starts, ends, data, starts[like], ends[like]))
+    number[odd] = len(first) + np.arange(len(odd))
+    first = np.append(first, odd)
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], number
 

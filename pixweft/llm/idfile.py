@@ -7,6 +7,8 @@ file and block number, the place of its first id in the file, document ids and l
 string, and the bit offset of every CHECK-th id. Files follow ascending doc_id, blocks and
 documents too. A block is decoded alone, all its checkpoints side by side, by one table of 2 ** LIMIT entries.
 
+Ids take 16 bits, so a vocabulary of over 65,536 ids is refused. Places of files are summed in one window over a row for each file.
+
 Null texts have the end id alone. Null doc_ids come first. Documents with one doc_id follow each
 other in any order. An empty table gives an empty file set.
 """
@@ -54,7 +56,7 @@ def kinds(data: np.ndarray) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pieces that the tokenizer encodes independently: starts, ends, hashes (equal but for A-Z: alike), whether they are of one kind from 1 to 3; and the first piece of each text."""
+    """Of pieces that the tokenizer encodes independently: starts, ends, the text with A-Z lower-cased but in words with <| (equal pieces of it get equal ids), whether they are of one kind from 1 to 3; and the first piece of each text."""
     starts, ends, _ = K.spans(data, off)
     kind = kinds(data)
     cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
@@ -69,31 +71,34 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     new[more] = True
     starts = np.flatnonzero(new[:-1])
     ends = np.sort(np.concatenate([ends, more]))
-    hashes = K.span_hashes(data, starts, ends)
+    told = K.LOWER[data]
     odd = np.zeros(len(data) + 1, np.int64)
     np.cumsum(kind == 4, out=odd[1:])
     plain = odd[ends] == odd[starts]
     if len(signs):
-        whole = np.unique(np.searchsorted(starts, signs, "right") - 1)
-        hashes[whole] = K.mix(K.span_hashes(data, starts[whole], ends[whole], lower=False) ^ np.uint64(0x5D588B656C078965))
-        plain[whole] = False
-    return starts, ends, hashes, plain, np.searchsorted(starts, off)
+        for k in np.unique(np.searchsorted(starts, signs, "right") - 1).tolist():
+            told[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+            plain[k] = False
+    return starts, ends, told, plain, np.searchsorted(starts, off)
 
 
 class PieceEncoder:
-    """Encodes pieces by the library and keeps up to about CACHE of them."""
+    """Encodes pieces by the library and keeps up to about CACHE of them, each with its bytes, found by a hash."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF:
+            raise ValueError("ids are kept in 16 bits: a vocabulary may have 65,536 at most")
         self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end what the library merges together
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.raw, self.raw_start, self.raw_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def one_by_one(self, texts_: list[str]) -> list[np.ndarray]:
         return [np.array(c.ids, np.uint16) for c in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
@@ -118,26 +123,42 @@ class PieceEncoder:
         start[order] = np.cumsum(size[order]) - size[order]
         return np.concatenate([*own, *told]), start, size
 
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids of each)."""
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, told: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each). A piece that shares its hash with another, but not its bytes, is encoded alone."""
         if len(self.hashes) > CACHE:
             self.clear()
-        own, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        own, first, number = np.unique(K.span_hashes(told, starts, ends, lower=False), return_index=True, return_inverse=True)
+        like = first[number]
+        alone = ~K.same_spans(told, starts, ends, told, starts[like], ends[like])
         at = np.searchsorted(self.hashes, own)
-        missing = np.ones(len(own), bool)
-        missing[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != own[at < len(self.hashes)]
-        if missing.any():
-            raw, where = data.tobytes(), first[missing]
+        known = np.zeros(len(own), bool)
+        known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == own[at < len(self.hashes)]
+        k, met = first[known], at[known]
+        taken = np.zeros(len(own), bool)
+        taken[known] = ~K.same_spans(told, starts[k], ends[k], self.raw, self.raw_start[met], self.raw_start[met] + self.raw_size[met])
+        alone |= taken[number]
+        raw = data.tobytes()
+        if not known.all():
+            where = first[~known]
             ids, start, size = self.encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], plain[where])
-            every = np.concatenate([self.hashes, own[missing]])
+            every = np.concatenate([self.hashes, own[~known]])
             order = np.argsort(every, kind="stable")
+            n = ends[where] - starts[where]
             self.hashes = every[order]
             self.start = np.concatenate([self.start, len(self.flat) + start])[order]
             self.size = np.concatenate([self.size, size])[order]
+            self.raw_start = np.concatenate([self.raw_start, len(self.raw) + np.cumsum(n) - n])[order]
+            self.raw_size = np.concatenate([self.raw_size, n])[order]
             self.flat = np.concatenate([self.flat, ids])
+            self.raw = np.concatenate([self.raw, K.ragged(told, starts[where], n)])
             at = np.searchsorted(self.hashes, own)
-        number = at[number]
-        return K.ragged(self.flat, self.start[number], self.size[number]), self.size[number]
+        flat, start, size = self.flat, self.start[at[number]], self.size[at[number]]
+        if alone.any():
+            where = np.flatnonzero(alone)
+            ids, own_start, own_size = self.encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], plain[where])
+            start[where], size[where] = len(flat) + own_start, own_size
+            flat = np.concatenate([flat, ids])
+        return K.ragged(flat, start, size), size
 
 
 @lru_cache(2)

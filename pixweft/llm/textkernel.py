@@ -42,19 +42,16 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BYTE = seeded(256, 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_keys = seeded(64, 1)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _key(number: np.ndarray) -> np.ndarray:
+    """The key of each block of a span by its number in the span."""
+    global _keys
+    top = int(number.max(initial=0)) + 1
+    if len(_keys) < top:
+        _keys = seeded(2 * top, 1)
+    return _keys[number]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,23 +95,60 @@ def spans(data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[n
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _blocks(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans' bytes in blocks of 8 (the last one filled up with zeros) as integers, each block's number in its span, and each span's first block. `padded` has 8 bytes more than the text."""
+    n = np.maximum(ends - starts + 7 >> 3, 1)
+    first = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * number
+    value = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))[at]
+    left = np.repeat(ends, n) - at
+    short = np.flatnonzero(left < 8)
+    value[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    return value, number, first
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, A-Z lower-cased if asked; memory is bounded by PIECE or the longest span."""
+    """A 64-bit hash of each span's bytes, A-Z lower-cased if asked; memory is bounded by PIECE or the longest span.
+
+    Blocks of 8 bytes are mixed under a key for each place and summed, so spans of equal length up to 8 bytes never share a hash, and longer ones do by
+    chance alone (2 ** -64 a pair). What gives out results for a span by its hash compares the bytes as well (same_spans).
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         a = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, a + PIECE, "right")))
-        piece = data[a : ends[j - 1]]
-        forward, back = _power(len(piece) + 1)
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTE[LOWER[piece] if lower else piece] * forward[:-1], out=total[1:])
+        piece = data[a : int(ends[i:j].max())]
         s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)
+        value, number, first = _blocks(_padded(LOWER[piece] if lower else piece), s, e)
+        value ^= _key(number)
+        out[i:j] = np.add.reduceat(mix(value), first) + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         i = j
     return mix(out)
 
 
+def same_spans(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether the k-th span of `one` and that of `two` hold the same bytes."""
+    same = ends - starts == ends2 - starts2
+    at = np.flatnonzero(same)
+    one, two = _padded(one), _padded(two)
+    size = np.cumsum(ends[at] - starts[at])
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(size, size[i] + PIECE, "right")))
+        k = at[i:j]
+        a, _, first = _blocks(one, starts[k], ends[k])
+        b, _, _ = _blocks(two, starts2[k], ends2[k])
+        same[k] = np.logical_and.reduceat(a == b, first)
+        i = j
+    return same
+
+
 def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word windows inside each text, and the first window of each text."""
     count = np.diff(first)
