@@ -6,8 +6,9 @@ longest run of matching seeds is marked in both, then the next longest outside a
 none of MATCH tokens is left. So passages count in any order. A text leaks an item if the tiles
 cover at least COVERAGE of the item's tokens.
 
-Benchmarks go to the tasks in blocks of at most BLOCK characters (one longer item comes alone), and every block
-meets every text. Null texts, empty texts, empty tables and items of under MATCH tokens give no rows;
+Seeds are joined on their hashes (64 bits; a chance hit is one window and can't cover an item). A benchmark of at most BLOCK characters is broadcast for that, and each text is tiled where it is read.
+A larger one is not: its seeds and the windows of the texts that a bitmap of 2 ** MARKS bits lets through are shuffled and joined, in one pass over
+the texts, and each text and item with a hit is tiled in a group of its own. Null texts, empty texts, empty tables and items of under MATCH tokens give no rows;
 a repeated document row gives its rows again, a repeated item id counts as another item.
 """
 
@@ -15,17 +16,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import texts, without
+from .shared import bitmap, cut, marked, texts, without
 
-MATCH, COVERAGE, BLOCK = 5, 0.5, 8 << 20
+MATCH, COVERAGE, BLOCK, STEP = 5, 0.5, 8 << 20, 4 << 20
 SCHEMA = "doc_id long, item_id long, n_tiles int, covered int, item_tokens int, coverage double"
 
 
@@ -44,12 +46,17 @@ class Seeds:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, item position) of all windows that are seeds."""
-        maybe = np.flatnonzero(self.bits[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
-        lo = np.searchsorted(self.hashes, grams[maybe], "left")
-        n = np.searchsorted(self.hashes, grams[maybe], "right") - lo
-        return np.repeat(maybe, n), K.ragged(self.item, lo, n), K.ragged(self.pos, lo, n)
+    def hits(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item, item position) of all windows that are seeds, about STEP at a time (all hits of one window come together)."""
+        window = np.flatnonzero(self.bits[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+        lo = np.searchsorted(self.hashes, grams[window], "left")
+        size = np.searchsorted(self.hashes, grams[window], "right") - lo
+        window, lo, size = window[size > 0], lo[size > 0], size[size > 0]
+        total, i = np.cumsum(size), 0
+        while i < len(window):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + STEP, "right")))
+            yield np.repeat(window[i:j], size[i:j]), K.ragged(self.item, lo[i:j], size[i:j]), K.ragged(self.pos, lo[i:j], size[i:j])
+            i = j
 
 
 def tiles(doc_pos: np.ndarray, item_pos: np.ndarray, n: int = MATCH) -> list[tuple[int, int, int]]:
@@ -84,52 +91,105 @@ def tiles(doc_pos: np.ndarray, item_pos: np.ndarray, n: int = MATCH) -> list[tup
     return out
 
 
+def _coverage(where: np.ndarray, pos: np.ndarray, need: int, n: int, least: float) -> tuple[int, int] | None:
+    """(tiles, covered tokens) of a text and an item of `need` tokens, if they cover enough."""
+    if len(np.unique(pos)) + n * len(pos) < least * need:
+        return None  # too few seeds to cover enough
+    found = tiles(where, pos, n)
+    covered = sum(t[2] for t in found)
+    return (len(found), covered) if covered >= least * need else None
+
+
+def _rows(rows: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+
+
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
 def _tiled(batches: Iterator[pa.RecordBatch], seeds: Seeds, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, _, data, off in K.slices(batch.column(1)):
             starts, ends, first = K.spans(data, off, K.NOT_ALNUM)
             grams, at = K.ngrams(K.span_hashes(data, starts, ends), first, seeds.n)
-            window, item, pos = seeds.hits(grams)
-            doc = np.searchsorted(at, window, "right") - 1
-            order = np.lexsort((window, item, doc))
-            doc, item, pos, where = doc[order], item[order], pos[order], (window - at[doc])[order]
-            cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
+            # Of each text and item first the number of hits: only those with enough are looked at closely, so that a seed of many items costs no memory
+            pairs = [np.unique((np.searchsorted(at, window, "right") - 1) * len(seeds.ids) + item, return_counts=True) for window, item, _ in seeds.hits(grams)]
+            if not pairs:
+                continue
+            pair, number = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
+            hits = np.bincount(number, weights=np.concatenate([c for _, c in pairs]))
+            pair = pair[(seeds.n + 1) * hits >= least * seeds.tokens[pair % len(seeds.ids)]]
+            kept = []
+            for window, item, pos in seeds.hits(grams):
+                own = (np.searchsorted(at, window, "right") - 1) * len(seeds.ids) + item
+                k = np.minimum(np.searchsorted(pair, own), max(len(pair) - 1, 0))
+                k = np.flatnonzero(pair[k] == own) if len(pair) else k[:0]
+                kept.append((own[k], window[k], pos[k]))
+            own, window, pos = (np.concatenate([x[k] for x in kept]) for k in range(3))
+            order = np.lexsort((window, own))
+            own, pos, window = own[order], pos[order], window[order]
+            cuts = np.flatnonzero(np.diff(own)) + 1
             rows = []
-            for a, b in zip([0, *cuts], [*cuts, len(doc)], strict=True) if len(doc) else ():
-                need = int(seeds.tokens[item[a]])
-                if len(np.unique(pos[a:b])) + seeds.n * (b - a) < least * need:
-                    continue  # too few seeds to cover enough
-                found = tiles(where[a:b], pos[a:b], seeds.n)
-                covered = sum(t[2] for t in found)
-                if covered >= least * need:
-                    rows.append((batch.column(0)[i + int(doc[a])].as_py(), seeds.ids[item[a]], len(found), covered, need, covered / need))
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-
-
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks of bounded size; only one block is on the driver at a time."""
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    ids, items, size = [], [], 0
-    for row in sized.toLocalIterator():
-        if items and size + len(row.text) > limit:
-            yield ids, items
-            ids, items, size = [], [], 0
-        ids.append(row.item_id)
-        items.append(row.text)
-        size += len(row.text)
-    if items:
-        yield ids, items
+            for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True) if len(own) else ():
+                doc, item = divmod(int(own[a]), len(seeds.ids))
+                need = int(seeds.tokens[item])
+                if found := _coverage(window[a:b] - at[doc], pos[a:b], need, seeds.n, least):
+                    rows.append((batch.column(0)[i + doc].as_py(), seeds.ids[item], *found, need, found[1] / need))
+            yield pa.RecordBatch.from_arrays(_rows(rows), _NAMES)
+
+
+ITEM_SEEDS = "item long, item_id long, item_tokens int, seed long, item_pos int"
+DOC_SEEDS = "doc long, doc_id long, seed long, pos int"
+
+
+def _seeds_of(batches: Iterator[pa.RecordBatch], n: int, marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """ITEM_SEEDS of rows (id, text), or DOC_SEEDS where marks tell which seeds to keep; the first column numbers the rows."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
+        for i, j, data, off in K.slices(batch.column(1)):
+            starts, ends, first = K.spans(data, off, K.NOT_ALNUM)
+            grams, at = K.ngrams(K.span_hashes(data, starts, ends), first, n)
+            doc = np.repeat(np.arange(j - i), np.diff(at))
+            pos = np.arange(len(grams)) - at[doc]
+            keep = np.arange(len(grams)) if marks is None else np.flatnonzero(marked(grams.view(np.int64), marks))
+            doc, grams, pos = doc[keep], grams[keep], pos[keep]
+            own = pa.array(ids[i:j][doc], pa.int64()) if ids is not None else batch.column(0).slice(i, j - i).take(pa.array(doc))
+            columns = [pa.array(row + i + doc), own, pa.array(np.diff(first)[doc].astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(pos.astype(np.int32))]
+            names = [x.split()[0] for x in ITEM_SEEDS.split(", ")]
+            if marks is not None:
+                del columns[2]
+                names = [x.split()[0] for x in DOC_SEEDS.split(", ")]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        row += batch.num_rows
+
+
+def _group_tiled(hits: pa.Table, n: int, least: float) -> pa.Table:
+    need = hits.column("item_tokens")[0].as_py()
+    found = _coverage(hits.column("pos").to_numpy().astype(np.int64), hits.column("item_pos").to_numpy().astype(np.int64), need, n, least)
+    rows = [(hits.column("doc_id")[0].as_py(), hits.column("item_id")[0].as_py(), *found, need, found[1] / need)] if found else []
+    return pa.Table.from_arrays(_rows(rows), _NAMES)
+
+
+def _items(benchmark: DataFrame, n: int) -> DataFrame:
+    """Rows that can hold n tokens."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= 2 * n - 1)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, n: int = MATCH, block: int = BLOCK) -> DataFrame:
     """SCHEMA: one row for each document row and benchmark item that it leaks."""
-    spark, found = docs.sparkSession, []
-    for ids, items in _blocks(benchmark, block):
-        seeds = spark.sparkContext.broadcast(Seeds(ids, items, n))
-        found.append(texts(docs).mapInArrow(lambda batches, s=seeds: _tiled(batches, s.value, least), SCHEMA))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
+    spark, items = docs.sparkSession, _items(benchmark, n)
+    if items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= block:
+        rows = items.collect()  # at most `block` characters
+        seeds = spark.sparkContext.broadcast(Seeds([r.item_id for r in rows], [r.text for r in rows], n))
+        return texts(docs).mapInArrow(lambda batches: _tiled(batches, seeds.value, least), SCHEMA) if rows else spark.createDataFrame([], SCHEMA)
+    parts = cut(items.mapInArrow(partial(_seeds_of, n=n), ITEM_SEEDS), "items")
+    marks = spark.sparkContext.broadcast(bitmap(parts, "seed"))
+    windows = cut(texts(docs).mapInArrow(lambda batches: _seeds_of(batches, n, marks.value), DOC_SEEDS), "windows")
+    hits = windows.join(parts, "seed").select("doc", "doc_id", "pos", "item", "item_id", "item_tokens", "item_pos")
+    enough = hits.groupBy("doc", "item").agg(F.count("*").alias("n"), F.min("item_tokens").alias("need")).where(F.col("n") * (n + 1) >= F.col("need") * least).select("doc", "item")
+    return hits.join(enough, ["doc", "item"], "left_semi").groupBy("doc", "item").applyInArrow(lambda rows: _group_tiled(rows, n, least), SCHEMA)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import components
-from .shared import cut, texts
+from .shared import bitmap, cut, marked, texts
 
 SIDE, BAND, SHINGLE, PERCENT = 8, 2, 5, 85
-DIFFER, SHARP, SHARP_DIFFER, BLOCK, BLOCK_SHINGLES, STEP, MARKS = 15, 256, 64, 2048, 8 << 20, 1 << 19, 26
+DIFFER, SHARP, SHARP_DIFFER, BLOCK, BLOCK_SHINGLES, STEP = 15, 256, 64, 2048, 8 << 20, 1 << 19
 _HASHES = 2 * SIDE * BAND
 _SKETCH = [f"s{k}" for k in range(_HASHES // 8)]
 
@@ -108,8 +108,7 @@ def _marked(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None) -> Iter
         if marks is None:
             yield batch
             continue
-        m = batch.column(2).to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array((marks[m >> 6] >> (m & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+        yield batch.filter(pa.array(marked(batch.column(2).to_numpy(zero_copy_only=False), marks)))
 
 
 def _sharp_sketches(batches: Iterator[pa.RecordBatch], n: int, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -149,16 +148,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 def _rows_of(docs: DataFrame, ids: DataFrame, sets: Callable, n: int, kinds: str, name: str) -> DataFrame:
     """What `sets` makes of the texts with the given ids (a table with the column id), written to the shared folder.
 
-    Texts are read again and don't move: a table of 2 ** MARKS bits, whatever the number of ids, tells the tasks which rows to take. If it fills, more rows
+    Texts are read again and don't move: a bitmap of fixed size tells the tasks which rows to take. If it fills, more rows
     are taken than asked for; the join after it drops those.
     """
-    mark = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << MARKS))
-    words = ids.select(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << MARKS)).alias("m")).groupBy(F.expr("shiftright(m, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("bits"))
-    got = words.toArrow()
-    marks = np.zeros(1 << (MARKS - 6), np.uint64)
-    marks[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    plain = texts(docs).where("doc_id is not null").select("doc_id", "text", mark.alias("mark"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("mark")), "mark"))
+    plain = texts(docs).where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
     return cut(plain.mapInArrow(lambda batches: sets(batches, n, shared.value), kinds), name)
 
 
