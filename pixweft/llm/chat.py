@@ -8,7 +8,7 @@ tool's schema. JSON is canonical: keys in order, no white space.
 Defined results: of calls (or results) with one id, the least (turn, content) counts; a call without a
 result is `unanswered`; a result without a call is `orphan`; a call whose `after` isn't there is a
 root with the error `unknown dependency`; calls on a cycle have a null level and the error `cycle`.
-Rows without an id are `unidentified`. Arguments that aren't a JSON object give
+Rows without an id are `unidentified`; turns that are no calls (others) have the status `no call` and a message of role and content. Arguments that aren't a JSON object give
 the error `not an object`; a tool without a schema `unknown tool`. Empty tables give no rows.
 """
 
@@ -28,12 +28,16 @@ COLUMNS = ("call_id", "conv_id", "turn", "level", "tool", "status", "valid", "er
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level, dangling) of (call_id, after); level is null on and behind a cycle."""
     ids = calls.select(F.col("call_id").alias("up"), F.lit(True).alias("there"))
-    state = calls.join(ids, calls["after"] == ids["up"], "left").select("call_id", "up", F.when(F.col("there"), 1).otherwise(0).cast("long").alias("level"), (F.col("after").isNotNull() & F.col("there").isNull()).alias("dangling"))
-    state = cut(state, "levels")
+    rest = calls.where("after is not null")
+    found = rest.join(ids, rest["after"] == ids["up"], "left").select("call_id", "up", F.when(F.col("there"), 1).otherwise(0).cast("long").alias("level"), F.col("there").isNull().alias("dangling"))
+    # Rows without a call above them never meet a join: they would all have one key
+    roots = calls.where("after is null").select("call_id", F.lit(None).cast(calls.schema["after"].dataType).alias("up"), F.lit(0).cast("long").alias("level"), F.lit(False).alias("dangling"))
+    state = cut(found.unionByName(roots), "levels")
     open_, rounds = state.where("up is not null").count(), 1
     while open_ and (1 << rounds) <= 2 * open_ + 2:
         above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        state = cut(state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), "dangling"), "levels")
+        higher = state.where("up is not null").join(above, "up").select("call_id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"), "dangling")
+        state = cut(state.where("up is null").unionByName(higher), "levels")
         rounds += 1
         if not state.where("up is not null").limit(1).count():
             break
@@ -61,8 +65,8 @@ def _errors() -> F.Column:
     return found
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
-    """COLUMNS for calls (call_id, conv_id, turn, tool, arguments, after) and results (call_id, conv_id, turn, content)."""
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schema, others: DataFrame | None = None) -> DataFrame:
+    """COLUMNS for calls (call_id, conv_id, turn, tool, arguments, after), results (call_id, conv_id, turn, content) and others (conv_id, turn, role, content), which are neither."""
     own = ("conv_id", "turn", "tool", "arguments", "after")
     one = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "arguments", "tool", "after", "conv_id")).alias("x")).select("call_id", *(F.col(f"x.{c}").alias(c) for c in own))
     answer = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"))
@@ -88,17 +92,24 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schema) -> Da
     lost = calls.where("call_id is null").select("conv_id", "turn", "tool").unionByName(results.where("call_id is null").select("conv_id", "turn", F.lit(None).cast("string").alias("tool")))
     none = lambda kind: F.lit(None).cast(kind)
     lost = lost.select(none("string").alias("call_id"), "conv_id", "turn", none("long").alias("level"), "tool", F.lit("unidentified").alias("status"), none("boolean").alias("valid"), F.lit("").alias("errors"), none("string").alias("message"))
-    return linked.unionByName(lost)
+    if others is None:
+        return linked.unionByName(lost)
+    said = F.concat(F.lit('{"content":'), text("content"), F.lit(',"role":'), text("role"), F.lit("}"))
+    rest = others.select(none("string").alias("call_id"), "conv_id", "turn", none("long").alias("level"), none("string").alias("tool"), F.lit("no call").alias("status"), none("boolean").alias("valid"), F.lit("").alias("errors"), said.alias("message"))
+    return linked.unionByName(lost).unionByName(rest)
 
 
-def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain turns: a user turn calls `reply` after the call two turns before; an assistant turn answers the turn before it. Turns of other roles (system, null, other spellings) are neither and give no row."""
+def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, results, others) of plain turns: a user turn calls `reply` after the call two turns before; an assistant turn answers the turn before it. Turns of other roles (system, null, other spellings) are others."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     at = lambda back: F.concat_ws("-", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("conv_id").cast("string")), (F.col("turn") - back).cast("string"))
     key = lambda back: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), at(back))
     user = turns.where("role = 'user'")
     calls = user.select(key(0).alias("call_id"), "conv_id", "turn", F.lit("reply").alias("tool"), F.to_json(F.struct("turn", "text")).alias("arguments"), key(2).alias("after"))
+    # Only a call that is there is named; keys are conv_id-turn, so no key is common
     prior = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("there")).where("after is not null").distinct()
-    calls = calls.join(prior, "after", "left").withColumn("after", F.when(F.col("there"), F.col("after"))).drop("there")
+    named = calls.where("after is not null").join(prior, "after", "left").withColumn("after", F.when(F.col("there"), F.col("after"))).drop("there")
+    calls = calls.where("after is null").unionByName(named)
     results = turns.where("role = 'assistant'").select(key(1).alias("call_id"), "conv_id", "turn", F.col("text").alias("content"))
-    return calls, results
+    others = turns.where("coalesce(role, '') not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return calls, results, others

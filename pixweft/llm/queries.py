@@ -17,7 +17,8 @@ def op1_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_tool_calls(*chat.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), chat.REPLY)
+    calls, results, others = chat.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.link_tool_calls(calls, results, chat.REPLY, others)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,8 @@ def _op2_sql() -> str:
         from u full outer join a on u.call_id = a.call_id left join chain on chain.call_id = u.call_id)
     select call_id, conv_id, turn, level::bigint as level, case when called then 'reply' end as tool, case when not called then 'orphan' when answered then 'linked' else 'unanswered' end as status,
         case when called then said is not null end as valid, case when called and said is null then 'missing text' else '' end as errors,
-        '{"arguments":' || case when called then '{' || coalesce('"text":' || to_json(said) || ',', '') || '"turn":' || asked || '}' else 'null' end || ',"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content)::varchar, 'null') || ',"tool":' || case when called then '"reply"' else 'null' end || '}' as message from j"""
+        '{"arguments":' || case when called then '{' || coalesce('"text":' || to_json(said) || ',', '') || '"turn":' || asked || '}' else 'null' end || ',"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(content)::varchar, 'null') || ',"tool":' || case when called then '"reply"' else 'null' end || '}' as message from j
+    union all select null, conv_id, turn, null, null, 'no call', null, '', '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' from conversations where coalesce(role, '') not in ('user', 'assistant')"""
 
 
 def _op3_sql() -> str:
