@@ -6,9 +6,9 @@ phrases per symbol wins (of equal ones the first by name). Symbols are lower-cas
 anything else. Texts are parsed whole, in segments of SEGMENT symbols that run side by side;
 a phrase ends at the end of its segment, in all languages alike.
 
-The sample is bounded: ROWS documents of each language, CHARS characters of each, taken in order of a hash
-of doc_id among rows with a language whose crc32(doc_id) mod FOLDS isn't HELD_OUT. doc_id
-chooses sample rows only. A worker holds about 10 MB for each language.
+The sample is bounded: of each language at most ROWS different whole texts with a letter, of at most CHARS characters together
+(the first always counts), in order of a hash of the text, those of at most LONG characters first. They come from rows with a language whose crc32(doc_id) mod FOLDS
+isn't HELD_OUT; copies count once. A worker holds about 15 MB for each language.
 
 Null texts and texts without a letter are `und` with score 0. Without any sample, all are.
 A null doc_id hashes as an empty string. Repeated rows are judged alike.
@@ -26,9 +26,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import texts
+from .shared import column, texts
 
-ROWS, CHARS, FOLDS, HELD_OUT, SEGMENT = 40, 500, 4, 2, 512
+ROWS, CHARS, LONG, FOLDS, HELD_OUT, SEGMENT = 40, 40_000, 1_000, 4, 2, 512
 #: Phrases per symbol above which no language fits; prose needs about a third of that.
 MAX_RATE = 0.6
 OUT = "lang_pred string, score double, rate double"
@@ -39,12 +39,16 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, text), sorted: at most ROWS of CHARS characters for each language."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(f"n <= {ROWS}").select("doc_id").distinct()
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").substr(1, CHARS).alias("text")).join(chosen, "doc_id", "left_semi")
-    return sorted((r.lang, r.text) for r in found.where("lang is not null and text is not null").collect())
+    """(language, text), sorted: for each language at most ROWS texts and, from the second on, CHARS characters."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.xxhash64("text").alias("hash"), F.length("text").alias("size"), "text")
+    order = W.partitionBy("lang").orderBy(F.col("size") > LONG, "hash", "size")
+    ranked = rows.select("lang", "hash", "size").distinct().withColumn("n", F.row_number().over(order)).where(f"n <= {ROWS}")
+    chosen = ranked.withColumn("total", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).where(f"n = 1 or total <= {CHARS}")
+    # ROWS small rows for each language; their texts are collected here in any case
+    found = rows.join(F.broadcast(chosen.select("lang", "hash", "size")), ["lang", "hash", "size"], "left_semi")
+    return sorted((r.lang, r.text) for r in found.groupBy("lang", "hash", "size").agg(F.min("text").alias("text")).collect())
 
 
 class Alphabet:
@@ -186,7 +190,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that some language fits, with all their columns."""
     rows = docs.sparkSession.sparkContext.broadcast(tuple(sample(docs)))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(F.col("text").cast("string").alias("t"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    plain = docs.select(F.col("text").cast("string").alias("t"), *(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
     kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True))
     out = plain.mapInArrow(lambda batches: _predicted(batches, rows.value), f"{kinds}, {OUT}").where(f"lang_pred <> 'und' and rate <= {MAX_RATE}")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
