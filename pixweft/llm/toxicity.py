@@ -5,9 +5,10 @@ clauses end at . ! ? ; : and line ends. The insult lexicon is learned: words and
 STEMS bytes that occur in toxic rows far more often than chance (likelihood ratio over documents of at
 least EVIDENCE, log-odds over tokens of at least LEAST), weighted by their log-odds; what
 occurs beside the same words again and again, as in copies of one text, and beginnings of a few words only don't count (CONTEXTS). Each token becomes a symbol (insult, threat,
-target, modal, negation, reported speech, other); the transducers below run over a
-clause's symbols and are composed by their outputs: an insult's weight grows beside a target, and shrinks
-after a near negation or behind reported speech; threats count only with a target.
+target, modal, negation, reported speech, other). A clause's symbols go through one transducer from right to left, which marks insults and threats
+with a target ahead, and then from left to right through GRAMMAR, the composition of five: negation and reported speech
+shrink what is near, a target before aims it, a modal makes an aimed threat a meant one, and the last gives the values. A threat counts only with a target.
+A clause weighs the sum of its tokens' weights (an insult's from the lexicon, a threat's 1) times the factors that the grammar gives out.
 
 The weights of clauses are log-likelihood ratios, so each token also costs the rate of insults in
 toxic rows (learned from the same rows): a few chance hits don't make a long text toxic. A text's score is the logistic function of
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .shared import cut, texts
 
-FOLDS, HELD_OUT, SAMPLE, STEMS, EVIDENCE, LEXICON = 3, 1, 20_000, (4, 5, 6, 7, 8), 30.0, 20_000
+FOLDS, HELD_OUT, SAMPLE, STEMS, EVIDENCE = 3, 1, 20_000, (4, 5, 6, 7, 8), 30.0
 PRIOR, THRESHOLD, LEAST, MOST, CONTEXTS, RUN = 0.1, 0.7, 2.5, 6.0, 0.7, 64
 #: Fixed words of the grammar, by symbol.
 WORDS = {
@@ -43,8 +44,8 @@ WORDS = {
     "negation": "not no never isn aren wasn nobody nicht kein keine nie pas jamais ni nunca jamás",
     "reported": "said says say wrote writes claimed claims quoted called calls sagte schrieb behauptet dit disait écrit dijo escribió llamó",
 }
-SYMBOLS = ("other", "insult", *WORDS)
-OTHER, INSULT, TARGET, THREAT, MODAL, NEGATION, REPORTED = range(len(SYMBOLS))
+SYMBOLS = ("other", "insult", *WORDS, "aimed insult", "aimed threat", "meant threat")
+OTHER, INSULT, TARGET, THREAT, MODAL, NEGATION, REPORTED, AIMED_INSULT, AIMED_THREAT, MEANT_THREAT = range(len(SYMBOLS))
 _CLAUSE = np.zeros(256, bool)
 _CLAUSE[[ord(c) for c in ".!?;:\n"]] = True
 
@@ -82,9 +83,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.tile(np.repeat(np.arange(j - i), np.diff(first)), 1 + len(STEMS))
             every = features(data, starts, ends)
             value = np.concatenate(every)
-            beside = np.zeros(len(starts) + 2, np.uint64)
-            beside[1:-1] = every[0]
-            place = K.mix(beside[:-2] * np.uint64(3) + beside[2:]) & np.uint64(63)
+            before, after = np.roll(every[0], 1), np.roll(every[0], -1)
+            before[first[:-1][np.diff(first) > 0]] = 0
+            after[first[1:][np.diff(first) > 0] - 1] = 0
+            place = K.mix(before * np.uint64(3) + after) & np.uint64(63)
             place = np.concatenate([place, np.tile(every[0] & np.uint64(63), len(STEMS))])
             bad = toxic[i:j][doc]
             bit = np.where(bad == 1, np.uint64(1) << place, np.uint64(0))
@@ -113,7 +115,7 @@ def _hits(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.Re
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """At most LEXICON features reach the driver."""
+    """The lexicon reaches the driver; features need some EVIDENCE in a sample of bounded size, which bounds their number."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     ratio = 2 * (F.when(bad > 0, bad * F.log(bad / (n * base))).otherwise(0.0) + F.when(n > bad, (n - bad) * F.log((n - bad) / (n * (1 - base)))).otherwise(0.0))
     odds = F.log((F.col("bad_times") + 0.5) / (total.bad_times + 1)) - F.log((F.col("times") - F.col("bad_times") + 0.5) / (total.times - total.bad_times + 1))
     strong = counts.where("feature <> 0").withColumn("ratio", ratio).withColumn("weight", odds).where((bad / n > base) & (F.col("ratio") >= EVIDENCE) & (F.col("weight") >= LEAST) & (F.col("contexts") >= CONTEXTS * F.least(bad, F.lit(20.0))))
-    best = strong.orderBy(F.desc("ratio"), "feature").limit(LEXICON).select("feature", "weight").collect()
+    best = strong.select("feature", "weight").collect()
     hashes = np.array([r.feature for r in best], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     lexicon = Lexicon(hashes[order], np.minimum(np.array([r.weight for r in best], float), MOST)[order])
@@ -155,36 +157,65 @@ def _lookup(table: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(table[at] == wanted, values[at], default)
 
 
-#: Transducers as {(state, symbol): next state}; a symbol that isn't listed moves from state n > 0 to n - 1.
+class Transducer(NamedTuple):
+    """For each state (0 is the first) and symbol read: the next state, the symbol given out, and the factor of the token's weight."""
+
+    to: np.ndarray
+    out: np.ndarray
+    factor: np.ndarray
+
+
+def near(trigger: int, reach: int, changes: dict[int, tuple[int, float]]) -> Transducer:
+    """Within `reach` symbols after the trigger, symbols change as told into (symbol, factor); all others pass."""
+    states, symbols = np.arange(reach + 1)[:, None], np.arange(len(SYMBOLS))[None, :]
+    out = np.repeat(symbols, reach + 1, axis=0)
+    factor = np.ones(out.shape)
+    for symbol, (new, f) in changes.items():
+        out[1:, symbol], factor[1:, symbol] = new, f
+    return Transducer(np.where(symbols == trigger, reach, np.maximum(states - 1, 0)), out, factor)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads as `first`, whose output `second` reads; its states are the pairs that can be reached."""
+    number, pairs, rows = {(0, 0): 0}, [(0, 0)], []
+    for p, q in pairs:  # grows on the way
+        row = []
+        for symbol in range(len(SYMBOLS)):
+            middle = int(first.out[p, symbol])
+            pair = int(first.to[p, symbol]), int(second.to[q, middle])
+            if pair not in number:
+                number[pair] = len(pairs)
+                pairs.append(pair)
+            row.append((number[pair], int(second.out[q, middle]), first.factor[p, symbol] * second.factor[q, middle]))
+        rows.append(row)
+    return Transducer(*(np.array([[x[k] for x in row] for row in rows]) for k in range(3)))
+
+
 NEAR = 3
-TARGETED = {(s, TARGET): NEAR for s in range(NEAR + 1)}
-NEGATED = {(s, NEGATION): 2 for s in range(NEAR + 1)}
-QUOTED = {(s, REPORTED): 12 for s in range(13)}
-MEANT = {(s, MODAL): NEAR for s in range(NEAR + 1)}
+_BOTH = {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}
+AHEAD = near(TARGET, NEAR, {k: (v, 1.0) for k, v in _BOTH.items()})  # read from right to left
+NEGATED = near(NEGATION, 2, {k: (k, 0.6 if k in (INSULT, AIMED_INSULT) else 0.5) for pair in _BOTH.items() for k in pair})
+QUOTED = near(REPORTED, 12, {k: (k, 0.7) for k in (INSULT, AIMED_INSULT)})
+TARGETED = near(TARGET, NEAR, {k: (v, 1.0) for k, v in _BOTH.items()})
+MEANT = near(MODAL, NEAR, {AIMED_THREAT: (MEANT_THREAT, 1.0)})
+VALUES = {INSULT: 1.0, AIMED_INSULT: 1.25, AIMED_THREAT: 1.5, MEANT_THREAT: 2.5}
+VALUED = Transducer(np.zeros((1, len(SYMBOLS)), int), np.arange(len(SYMBOLS))[None, :], np.array([[VALUES.get(k, 0.0) for k in range(len(SYMBOLS))]]))
+GRAMMAR = compose(compose(compose(compose(NEGATED, QUOTED), TARGETED), MEANT), VALUED)
+_AHEAD, _GRAMMAR = [x.tolist() for x in AHEAD], [x.tolist() for x in GRAMMAR]
 
 
 def clause_weight(symbols: list[int], weights: list[float]) -> float:
-    """The composed output for one clause: its tokens' symbols and insult weights."""
-    total, target, negated, quoted, meant, threat = 0.0, 0, 0, 0, 0, 0
-    pending = 0.0  # of insults and threats that may still meet a target
-    for s, w in zip(symbols, weights, strict=True):
-        if s == INSULT:
-            w *= (0.6 if negated else 1.0) * (0.7 if quoted else 1.0)
-            total += w * (1.25 if target else 1.0)
-            pending = 0.0 if target else 0.25 * w
-        elif s == THREAT:
-            threat = NEAR
-            if target:
-                total, threat = total + (0.5 if negated else 1.0) * (2.5 if meant else 1.5), 0
-        elif s == TARGET:
-            total, pending = total + pending, 0.0
-            if threat:
-                total, threat = total + (0.5 if negated else 1.0) * (2.5 if meant else 1.5), 0
-        target = TARGETED.get((target, s), max(0, target - 1))
-        negated = NEGATED.get((negated, s), max(0, negated - 1))
-        quoted = QUOTED.get((quoted, s), max(0, quoted - 1))
-        meant = MEANT.get((meant, s), max(0, meant - 1))
-        threat = max(0, threat - 1) if s != THREAT else threat
+    """The weight of one clause: its tokens' symbols, and their weights as insults."""
+    to, out, _ = _AHEAD
+    state, marked = 0, []
+    for s in reversed(symbols):
+        marked.append(out[state][s])
+        state = to[state][s]
+    to, _, factor = _GRAMMAR
+    state, total = 0, 0.0
+    for s, was, w in zip(reversed(marked), symbols, weights, strict=True):
+        total += factor[state][s] * (1.0 if was == THREAT else w)
+        state = to[state][s]
     return total
 
 
