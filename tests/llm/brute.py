@@ -139,3 +139,126 @@ def tiling(doc, item, n):
         out.append((best[1], best[2], best[0]))
         for k in range(best[0]):
             free_doc[best[1] + k] = free_item[best[2] + k] = False
+
+
+def phrase_count(symbols, sample, segment):
+    """Greedy longest matches: how many phrases of `sample` the string needs, in segments; a symbol that isn't in it is a phrase."""
+    n = 0
+    for k in range(0, len(symbols), segment):
+        piece, at = symbols[k : k + segment], 0
+        while at < len(piece):
+            end = at + 1
+            while end < len(piece) and piece[at : end + 1] in sample and piece[at:end] in sample:
+                end += 1
+            n, at = n + 1, end
+    return n
+
+
+def letters(text, known=None):
+    """Lower-cased letters, and one space for each run of anything else; letters outside `known` become \0."""
+    out = []
+    for c in text:
+        if c.isalpha():
+            low = c.lower()
+            low = low if known is None or low in known else low[0]
+            out.append(low if known is None or low in known else "\0")
+        elif not out or out[-1] != " ":
+            out.append(" ")
+    return "".join(out)
+
+
+def language(text, sample, segment):
+    """(language, score, rate) by cross-parsing, from (language, text) rows of the sample."""
+    if not any(c.isalpha() for c in text or "") or not sample:
+        return "und", 0.0, 1.0
+    known = {c for _, t in sample for c in t.lower() if c.isalpha()}
+    symbols = letters(text, known)
+    rates = {name: phrase_count(symbols, letters(" ".join(t for n, t in sample if n == name), known), segment) / len(symbols) for name in sorted({n for n, _ in sample})}
+    best = min(rates, key=lambda k: (rates[k], k))
+    rest = [v for k, v in rates.items() if k != best]
+    return best, 1 - rates[best] / (rates[best] + min(rest)) if rest else 1.0, rates[best]
+
+
+def bands(raw, press, limit, chunk, chunk_band, share):
+    """Whether the compression bands reject a text of bytes."""
+    ratio = lambda x: len(press(x)) / len(x)
+    outside = lambda x, band: not band[0] <= ratio(x) <= band[1]
+    parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)] if len(raw) > chunk else []
+    bad = sum(len(p) for p in parts if outside(p, chunk_band if len(p) == chunk else limit(len(p))))
+    return bool(raw) and (outside(raw, limit(len(raw))) or bad >= share * len(raw))
+
+
+def clauses(text, ends=".!?;:\n"):
+    """Clauses of alnum_tokens()."""
+    out, now = [], ""
+    for c in text or "":
+        if c in ends:
+            out.append(alnum_tokens(now))
+            now = ""
+        else:
+            now += c
+    return [c for c in [*out, alnum_tokens(now)] if c]
+
+
+def clause_weight(tokens, insult, words):
+    """The grammar by its meaning: {word: insult weight}, {kind: set of words}."""
+    total, weight = 0.0, [insult.get(w, 0.0) for w in tokens]
+    is_ = lambda k, kind: 0 <= k < len(tokens) and weight[k] == 0 and tokens[k] in words[kind]
+    for k in range(len(tokens)):
+        negated = any(is_(k - d, "negation") for d in (1, 2))
+        aimed = any(is_(k + d, "target") for d in (-3, -2, -1, 1, 2, 3))
+        if weight[k]:
+            total += weight[k] * (0.6 if negated else 1) * (0.7 if any(is_(k - d, "reported") for d in range(1, 13)) else 1) * (1.25 if aimed else 1)
+        elif is_(k, "threat") and aimed:
+            total += (0.5 if negated else 1) * (2.5 if any(is_(k - d, "modal") for d in (1, 2, 3)) else 1.5)
+    return total
+
+
+def text_weight(parts, rate, run):
+    """Of (tokens, weight) of all clauses: the whole less what chance gives, or the best run of weighty clauses less the price of choosing it."""
+    ends = []
+    for n, w in parts:
+        ends.append((ends[-1][1] if ends else 0, (ends[-1][1] if ends else 0) + n, w))
+    hot, size = [e for e in ends if e[2]], ends[-1][1] if ends else 0
+    best = max([0.0, *(sum(e[2] for e in hot[i : j + 1]) - rate * (hot[j][1] - hot[i][0]) for i in range(len(hot)) for j in range(i, len(hot)))])
+    return max(sum(w for _, w in parts) - rate * size, best - math.log1p(size / run))
+
+
+def lexicon(rows, stems, evidence, least, most, contexts, word_hash, place):
+    """({feature: weight}, insults per token more in toxic texts) from (text, toxic) rows; a feature is a word or (beginning, length)."""
+    n, bad, times, bad_times, seen = Counter(), Counter(), Counter(), Counter(), defaultdict(set)
+    size = [0, 0]
+    for text, toxic in rows:
+        ws = [w.encode() for w in alnum_tokens(text)]
+        size[toxic] += len(ws)
+        own = set()
+        for k, w in enumerate(ws):
+            for f in [w, *((w[:s], s) for s in stems if len(w) > s)]:
+                own.add(f)
+                times[f] += 1
+                bad_times[f] += toxic
+                if toxic:
+                    seen[f].add(place(ws[k - 1] if k else None, ws[k + 1] if k + 1 < len(ws) else None) if f == w else word_hash(w) & 63)
+        n.update(own)
+        if toxic:
+            bad.update(own)
+    all_, toxic = len(rows), sum(t for _, t in rows)
+    if not 0 < toxic < all_:
+        return {}, 0.0
+    out, base = {}, toxic / all_
+    for f in n:
+        b, k = bad[f], n[f]
+        if b < 2 or b / k <= base:
+            continue
+        ratio = 2 * (b * math.log(b / (k * base)) + ((k - b) * math.log((k - b) / (k * (1 - base))) if k > b else 0))
+        odds = math.log((bad_times[f] + 0.5) / (size[1] + 1)) - math.log((times[f] - bad_times[f] + 0.5) / (size[0] + 1))
+        if ratio >= evidence and odds >= least and len(seen[f]) >= contexts * min(b, 20):
+            out[f] = min(odds, most)
+    hits = [0, 0]
+    for text, t in rows:
+        hits[t] += sum(insult(w.encode(), out, stems) > 0 for w in alnum_tokens(text))
+    return out, max(0.0, hits[1] / max(1, size[1]) - hits[0] / max(1, size[0]))
+
+
+def insult(word, features, stems):
+    return max(features.get(word, 0.0), *(features.get((word[:s], s), 0.0) for s in stems if len(word) > s), 0.0)

@@ -85,7 +85,11 @@ def test_op2(spark):
     user = {f"{r.conv_id}-{r.turn}": r for r in turns if r.role == "user"}
     calls = [{"call_id": i, "conv_id": r.conv_id, "turn": r.turn, "tool": "reply", "arguments": json.dumps({k: v for k, v in (("turn", r.turn), ("text", r.text)) if v is not None}), "after": after if (after := f"{r.conv_id}-{r.turn - 2}") in user else None} for i, r in user.items()]
     results = [{"call_id": f"{r.conv_id}-{r.turn - 1}"} for r in turns if r.role == "assistant"]
-    got = queries.op2_chat_formatting(spark, SF).collect()
+    every = queries.op2_chat_formatting(spark, SF).collect()
+    got = [r for r in every if r.status != "no call"]
+    others = [r for r in turns if r.role not in ("user", "assistant")]
+    told = Counter((r.conv_id, r.turn, json.dumps({"content": r.text, "role": r.role}, ensure_ascii=False, separators=(",", ":"))) for r in others)
+    assert others and Counter((r.conv_id, r.turn, r.message) for r in every if r.status == "no call") == told
     assert {r.call_id: (r.level, r.status, r.valid, r.errors) for r in got} == linked(calls, results, chat.REPLY)
     assert len(got) == len({r.call_id for r in got})
 

@@ -304,8 +304,9 @@ def test_verdict_of_a_single_free_bet(spark):
 
 def test_turns_of_other_roles_are_no_calls(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, None, "n"), (1, 4, "User", "x")]
-    calls, results = chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    calls, results, others = chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert [r.turn for r in calls.collect()] == [1] and [r.turn for r in results.collect()] == [2]
+    assert sorted(r.turn for r in others.collect()) == [0, 3, 4]
 
 
 def test_links_are_kept_whole(spark):
