@@ -187,3 +187,50 @@ def test_folder_of_a_session_without_one(tmp_path):
 def test_names_with_dots(spark):
     docs = spark.createDataFrame([(1, prose(1, 200), "en", 5)], "doc_id long, text string, lang string, `a.b` long")
     assert quality.keep_good(docs).columns == langid.keep_known(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 60, 0])
+def test_language_model_by_plain_steps(spark, monkeypatch, frequent):
+    """Whole texts token by token from the trained weights, however many words the tasks are sent."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "HEAD", 45)
+    rows = [(i, f"{prose(i, 80)} rare{i % 17} once{i}") for i in range(40)] + [(50, None), (51, "once3 never seen"), (51, "once3 never seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v, encoded = lm.encode(docs)
+    m = lm.train(v, encoded)
+    count = Counter(w for i, t in rows if brute.zlib.crc32(str(i).encode()) % 10 for w in [*(x.translate(brute.A_TO_Z) for x in brute.words(t)), None])
+    assert len(v.hashes) <= frequent and (v.total, v.distinct) == (sum(count.values()), len(count))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    want = Counter()
+    for i, t in rows:
+        h, total = np.zeros(lm.HIDDEN), 0.0
+        for w in [*(x.translate(brute.A_TO_Z) for x in brute.words(t)), None]:
+            n = count[w]
+            rank = int(v.known(np.array([lm.END if w is None else _hash(w.encode())], np.uint64))[0][0])
+            kind = rank // lm.CLASS if rank >= 0 else v.head_classes + (min(int(math.log2(n)), lm.POWERS - 1) if n else lm.POWERS)
+            total += log_softmax(h @ m.c.astype(float) + m.cb)[kind]
+            if rank >= 0:
+                assert v.head_counts[rank] == n
+                own = slice(kind * lm.CLASS, (kind + 1) * lm.CLASS)
+                total += log_softmax(m.w[own].astype(float) @ h + m.wb[own])[rank - own.start]
+            elif n:
+                total += math.log((n + 0.1) / sum(c + 0.1 for x, c in count.items() if min(int(math.log2(c)), lm.POWERS - 1) == kind - v.head_classes and v.known(np.array([lm.END if x is None else _hash(x.encode())], np.uint64))[0][0] < 0))
+            row, past, k = m.x[rank if rank >= 0 else len(v.head_counts) + kind - v.head_classes].astype(float), h @ m.u.astype(float), lm.HIDDEN
+            z, r = sigmoid(row[:k] + past[:k]), sigmoid(row[k : 2 * k] + past[k : 2 * k])
+            fresh = np.tanh(row[2 * k :] + r * past[2 * k :])
+            h = (1 - z) * fresh + z * h
+        want[i, round(total / math.log(10), 2)] += 1
+    got = encoded.mapInArrow(lambda batches: lm._scored(batches, m, v), lm.OUT).collect()
+    assert Counter((r.doc_id, round(r.score, 2)) for r in got) == want
+    base = sorted((i, *b[:4], round(b[4], 6)) for (i, _), b in zip(rows, brute.base_scores(rows), strict=True))
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == base
+
+
+def test_models_are_averaged_by_tokens():
+    rng = np.random.default_rng(1)
+    rows = [(int(n), rng.standard_normal(5).astype("<f4")) for n in (1, 10, 100, 1000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["tokens", "weights"]) for n, w in rows]
+    (got,) = lm._averaged(iter(batches))
+    mean = sum(n * w.astype(float) for n, w in rows) / 1111
+    assert got.column(0).to_pylist() == [1111] and np.allclose(np.frombuffer(got.column(1)[0].as_py(), "<f4"), mean, atol=1e-5)
