@@ -45,8 +45,14 @@ def each(f, *pixels: Column) -> Column:
     return argb(*(f(*(channel(p, c) for p in pixels)) for c in "argb"))
 
 
-def add(p: Column, q: Column) -> Column:
-    return each(lambda x, y: low8(x + y), p, q)
+def mean2(x: Column | str, y: Column | str) -> Column:
+    """The mean of two samples, halves rounded up."""
+    return shift(long(x) + long(y) + 1, 1)
+
+
+def mean3(x: Column | str, y: Column | str, z: Column | str) -> Column:
+    """The mean of three samples, the middle one counted twice, halves rounded up."""
+    return shift(long(x) + 2 * long(y) + long(z) + 2, 2)
 
 
 def average(p: Column, q: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import LENGTH_ORDER
+
 MAX_LENGTH = 15
 
 
@@ -40,6 +42,26 @@ def validity(lengths: DataFrame) -> DataFrame:
 
 
 def expand_runs(runs: DataFrame) -> DataFrame:
-    """Rows (tree, pos, value, repeat) as one row per code length: (tree, place, len)."""
-    one = runs.withColumn("k", F.explode(F.expr("sequence(1L, repeat)")))
-    return one.select("tree", (F.row_number().over(W.partitionBy("tree").orderBy("pos", "k")).cast("bigint") - 1).alias("place"), F.col("value").alias("len"))
+    """Rows (tree, pos, value, repeat) as one row per code length: (tree, place, len). Runs of 0, less or null times give no rows."""
+    one = runs.where("repeat > 0").select("tree", "pos", "value", F.explode(F.expr("sequence(1L, cast(repeat as bigint))")).alias("_k"))
+    return one.select("tree", (F.row_number().over(W.partitionBy("tree").orderBy("pos", "_k")).cast("bigint") - 1).alias("place"), F.col("value").alias("len"))
+
+
+def run_symbols(symbols: DataFrame) -> DataFrame:
+    """Symbols 0 to 18 of a code-length code with their extra bits, (tree, pos, symbol, extra), as runs (tree, pos, value, repeat).
+
+    Up to 15: that length, once. 16: the last length that isn't 0 (8 before there is one), 3 + extra times. 17 and 18: zeros, 3 + extra and 11 + extra times.
+    A null symbol and any other has a null value and repeat.
+    """
+    s = F.col("symbol")
+    before = W.partitionBy("tree").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    last = F.coalesce(F.last(F.when(s.between(1, 15), s), ignorenulls=True).over(before), F.lit(8))
+    value = F.when(s.between(0, 15), s).when(s == 16, last).when(s.between(17, 18), 0)
+    repeat = F.when(s.between(0, 15), 1).when(s.between(16, 17), 3 + F.col("extra")).when(s == 18, 11 + F.col("extra"))
+    return symbols.select("tree", "pos", value.cast("bigint").alias("value"), repeat.cast("bigint").alias("repeat"))
+
+
+def length_symbols(stored: DataFrame) -> DataFrame:
+    """Column symbol: which symbol of the code-length code the length at place pos (0 to 18) is for; null beyond."""
+    order = F.array(*(F.lit(v).cast("bigint") for v in LENGTH_ORDER))
+    return stored.withColumn("symbol", F.when(F.col("pos").between(0, 18), F.element_at(order, (F.greatest(F.col("pos"), F.lit(0)) % 19 + 1).cast("int"))))

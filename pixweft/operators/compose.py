@@ -31,7 +31,6 @@ def gradient_residuals(plane: DataFrame) -> DataFrame:
     """The forward gradient filter: each sample less left + above - corner, clipped; at the edges less the neighbour there is."""
     row, up = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
     n = plane.withColumns({"l": F.lag("v").over(row), "t": F.lag("v").over(up)}).withColumn("tl", F.lag("t").over(row))
-    guess = F.coalesce(P.clip(F.col("l") + F.col("t") - F.col("tl")), F.col("l"), F.col("t"), F.lit(0))
     guess = F.when(F.col("tl").isNotNull(), P.clip(P.long("l") + P.long("t") - P.long("tl"))).otherwise(F.coalesce("l", "t", F.lit(0)))
     return n.select("image_id", "y", "x", F.pmod(P.long("v") - guess, F.lit(256)).alias("v"))
 

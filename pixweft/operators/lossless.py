@@ -40,19 +40,27 @@ def palette_unpack(packed: DataFrame, width: int, size: int, green: str = "g") -
     """(image_id, y, x, index) of rows (image_id, y, x, green) whose greens hold several indexes each, lowest bits first."""
     bits = palette_bits(size)
     per = 8 // bits
-    out = packed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    index = F.expr(f"shiftright(cast({green} as bigint), k * {bits}) & {(1 << bits) - 1}")
-    return out.select("image_id", "y", (P.long("x") * per + F.col("k")).alias("x"), index.alias("index")).where(F.col("x") < width)
+    out = packed.select("image_id", "y", P.long("x").alias("x"), P.long(green).alias("_green"), F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("_k"))
+    index = F.expr(f"shiftright(_green, _k * {bits}) & {(1 << bits) - 1}")
+    return out.select("image_id", "y", (F.col("x") * per + F.col("_k")).alias("x"), index.alias("index")).where(F.col("x") < width)
 
 
 def palette_lookup(indexes: DataFrame, palette: DataFrame) -> DataFrame:
-    """Indexes joined with palette (index, argb); an index beyond the palette gives 0. A palette has at most 256 rows."""
-    return indexes.join(F.broadcast(palette.select("index", "argb")), "index", "left").withColumn("argb", F.coalesce("argb", F.lit(0).cast("bigint")))
+    """Indexes joined with palette (index, argb), which all images share, or (image_id, index, argb), one for each image; a null index and one beyond the palette give 0.
+
+    A shared palette has at most 256 rows and is broadcast; palettes of images are joined on both columns, however many they are.
+    """
+    by = [c for c in ("image_id", "index") if c in palette.columns]
+    own = palette.select(*by, F.col("argb").alias("_argb"))
+    found = indexes.drop("argb").join(own if len(by) == 2 else F.broadcast(own), by, "left")
+    return found.withColumn("argb", F.coalesce("_argb", F.lit(0).cast("bigint"))).drop("_argb")
 
 
 def with_block(pixels: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
-    """Each pixel with the block (image_id, by, bx, ...) that covers it, if there is one."""
-    return pixels.withColumns({"by": P.shift("y", bits), "bx": P.shift("x", bits)}).join(blocks, ["image_id", "by", "bx"], "left")
+    """Each pixel with the other columns of the block (image_id, by, bx, ...) that covers it, null if there is none; they replace columns of the same names, and the pixels' own by and bx stay."""
+    more = [c for c in blocks.columns if c not in ("image_id", "by", "bx")]
+    own = blocks.select("image_id", F.col("by").alias("_by"), F.col("bx").alias("_bx"), *more)
+    return pixels.drop(*more).withColumns({"_by": P.shift("y", bits), "_bx": P.shift("x", bits)}).join(own, ["image_id", "_by", "_bx"], "left").drop("_by", "_bx")
 
 
 def color_delta(t: Column, c: Column) -> Column:
@@ -188,10 +196,12 @@ def near_codes(spark) -> DataFrame:
 
 
 def distances(codes: DataFrame, width: str = "width", code: str = "code") -> DataFrame:
-    """Column distance: codes over 120 count pixels, others name a near pixel; at least 1."""
-    near = F.broadcast(near_codes(codes.sparkSession).withColumnRenamed("code", "_code"))
+    """Column distance: codes over 120 count pixels, others name a near pixel, at least 1. Null where the code is null or below 1, or a near pixel's image has no width: readers fail there."""
+    near = F.broadcast(near_codes(codes.sparkSession).select(F.col("code").alias("_code"), F.col("up").alias("_up"), F.col("across").alias("_across")))
     joined = codes.join(near, codes[code] == near["_code"], "left")
-    return joined.withColumn("distance", F.when(P.long(code) > 120, P.long(code) - 120).otherwise(F.greatest(F.col("up") * P.long(width) + F.col("across"), F.lit(1).cast("bigint")))).drop("_code", "up", "across")
+    short = F.col("_up") * P.long(width) + F.col("_across")
+    value = F.when(P.long(code) > 120, P.long(code) - 120).when(F.col("_code").isNotNull() & (P.long(width) > 0), F.when(short < 1, 1).otherwise(short))
+    return joined.withColumn("distance", value).drop("_code", "_up", "_across")
 
 
 def cache_key(argb: Column | str, bits: int) -> Column:
@@ -206,6 +216,40 @@ def cache_state(pixels: DataFrame, bits: int) -> DataFrame:
 
 
 def copied(copies: DataFrame) -> DataFrame:
-    """Back-references (image_id, pos, distance, length) as rows (image_id, pos, source): an overlapping copy repeats its first `distance` pixels."""
-    out = copies.withColumn("k", F.explode(F.expr("sequence(0L, length - 1)")))
-    return out.select("image_id", (F.col("pos") + F.col("k")).alias("pos"), (F.col("pos") - F.col("distance") + F.col("k") % F.col("distance")).alias("source"))
+    """Back-references (image_id, pos, distance, length) as rows (image_id, pos, source): an overlapping copy repeats its first `distance` pixels.
+
+    No rows for copies of length 0 or less, and none for those that readers reject: a distance below 1 or null, or a source before the start (see bad_copies).
+    """
+    good = copies.where(~_bad_copy() & (F.col("length") > 0))
+    out = good.select("image_id", P.long("pos").alias("_pos"), P.long("distance").alias("_distance"), F.explode(F.expr("sequence(0L, cast(length as bigint) - 1)")).alias("_k"))
+    return out.select("image_id", (F.col("_pos") + F.col("_k")).alias("pos"), (F.col("_pos") - F.col("_distance") + F.col("_k") % F.col("_distance")).alias("source"))
+
+
+def _bad_copy() -> Column:
+    return F.coalesce((F.col("distance") < 1) | (F.col("distance") > F.col("pos")), F.lit(True))
+
+
+def bad_copies(copies: DataFrame) -> DataFrame:
+    """The back-references at which a reader fails."""
+    return copies.where(_bad_copy())
+
+
+def undo_transforms(pixels: DataFrame, transforms: list[tuple]) -> DataFrame:
+    """Pixels (image_id, y, x, a, r, g, b) after the inverse of transforms, which are given in the order in which they are read and undone from the last to the first.
+
+    ("subtract-green",), ("cross-color", blocks, bits) or ("color-indexing", palette, width, size): the last one reads packed greens and restores the width.
+    The predictor works on whole planes (inverse_predictor). At most four transforms, each kind once, as the format has it.
+    """
+    kinds = [t[0] for t in transforms]
+    if len(set(kinds)) < len(kinds) or not set(kinds) <= {"subtract-green", "cross-color", "color-indexing"}:
+        raise ValueError(f"no such transforms: {kinds}")
+    for kind, *own in reversed(transforms):
+        if kind == "subtract-green":
+            pixels = subtract_green(pixels)
+        elif kind == "cross-color":
+            pixels = cross_color(pixels, *own).select("image_id", "y", "x", "a", "r", "g", "b")
+        else:
+            palette, width, size = own
+            found = palette_lookup(palette_unpack(pixels, width, size), palette)
+            pixels = found.select("image_id", "y", "x", *(P.channel("argb", c).alias(c) for c in "argb"))
+    return pixels

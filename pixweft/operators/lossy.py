@@ -96,6 +96,92 @@ def true_motion(left: Column | str, top: Column | str, corner: Column | str) ->
     return P.clip(P.long(left) + P.long(top) - P.long(corner))
 
 
+def predict_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    """Blocks (image_id, block, mode, top, left, corner, has_top, has_left) of size * size samples as rows (image_id, block, y, x, v); 16 for luma, 8 for chroma.
+
+    Modes: 0 the rounded mean of the edges there are (128 without any), 1 the sample above, 2 the one to the left, 3 left + top - corner, clipped. Other modes give null samples.
+    """
+    side = F.expr(f"sequence(0L, {size - 1}L)")
+    total = lambda c, has: F.when(F.col(has), F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(0)
+    n = (F.when(F.col("has_top"), size).otherwise(0) + F.when(F.col("has_left"), size).otherwise(0)).cast("bigint")
+    mean = blocks.withColumns({"_sum": total("top", "has_top") + total("left", "has_left"), "_n": n}).withColumn("_dc", F.expr("if(_n > 0, (_sum + _n div 2) div _n, 128L)"))
+    cells = mean.withColumn("_y", F.explode(side)).withColumn("_x", F.explode(side))
+    top, left = F.get(F.col("top"), F.col("_x").cast("int")), F.get(F.col("left"), F.col("_y").cast("int"))
+    v = F.when(F.col("mode") == 0, F.col("_dc")).when(F.col("mode") == 1, top).when(F.col("mode") == 2, left).when(F.col("mode") == 3, true_motion(left, top, "corner"))
+    return cells.select("image_id", "block", F.col("_y").alias("y"), F.col("_x").alias("x"), v.alias("v"))
+
+
+def small_modes() -> list[tuple[int, int, int, list[int], int]]:
+    """(mode, y, x, weights, bits) of the ten modes of 4x4 blocks: a sample is the weighted sum of the 13 edge samples, rounded and shifted by bits.
+
+    The edge runs from the lowest left sample up to the corner (place 4), along the top and on to the top right.
+    """
+    out = []
+
+    def add(mode: int, y: int, x: int, places: dict[int, int], bits: int) -> None:
+        out.append((mode, y, x, [places.get(k, 0) for k in range(13)], bits))
+
+    def two(k: int) -> tuple[dict[int, int], int]:
+        return {k: 1, k + 1: 1}, 1
+
+    def three(k: int, low: int = 0, high: int = 12) -> tuple[dict[int, int], int]:
+        places: dict[int, int] = {}
+        for at, w in ((k - 1, 1), (k, 2), (k + 1, 1)):
+            at = min(max(at, low), high)
+            places[at] = places.get(at, 0) + w
+        return places, 2
+
+    for y in range(4):
+        for x in range(4):
+            add(0, y, x, {k: 1 for k in (0, 1, 2, 3, 5, 6, 7, 8)}, 3)
+            add(1, y, x, {5 + x: 1, 3 - y: 1, 4: -1}, 0)
+            add(2, y, x, *three(5 + x))
+            add(3, y, x, *three(3 - y))
+            add(4, y, x, *three(6 + x + y))
+            add(5, y, x, *three(4 + x - y))
+            for mode, along, across, sign in ((6, x, y, 1), (8, y, x, -1)):  # steep diagonals: the second mirrors the first at the corner
+                z = 2 * along - across
+                if z >= 0 and z % 2 == 0:
+                    k = 4 + sign * (z // 2)
+                    add(mode, y, x, *two(k if sign > 0 else k - 1))
+                else:
+                    add(mode, y, x, *three(4 + sign * ((z + 1) // 2 if z >= -1 else 1 - across)))
+            k = 5 + x + y // 2
+            if x == 3 and y >= 2:
+                add(7, y, x, *three(8 + y))
+            else:
+                add(7, y, x, *(three(k + 1) if y % 2 else two(k)))
+            z = x + 2 * y
+            if z > 5:
+                add(9, y, x, {0: 1}, 0)
+            else:
+                add(9, y, x, *(three(2 - z // 2) if z % 2 else two(2 - z // 2)))
+    return out
+
+
+def predict_small(blocks: DataFrame) -> DataFrame:
+    """Blocks (image_id, block, mode, edge) with the 13 samples of small_modes() as rows (image_id, block, y, x, v); an unknown mode gives 128."""
+    table = blocks.sparkSession.createDataFrame(small_modes(), "mode bigint, y bigint, x bigint, weights array<bigint>, bits int")
+    cells = table.groupBy("mode").agg(F.collect_list(F.struct("y", "x", "weights", "bits")).alias("_cells"))
+    flat = F.array(*(F.struct(F.lit(y).cast("bigint").alias("y"), F.lit(x).cast("bigint").alias("x"), F.lit(None).cast("array<bigint>").alias("weights"), F.lit(0).alias("bits")) for y in range(4) for x in range(4)))
+    own = blocks.select("image_id", "block", F.col("mode").cast("bigint").alias("mode"), "edge").join(F.broadcast(cells), "mode", "left")
+    one = own.select("image_id", "block", "edge", F.explode(F.coalesce("_cells", flat)).alias("c"))
+    total = F.expr("aggregate(zip_with(edge, c.weights, (e, w) -> cast(e as bigint) * w), 0L, (a, v) -> a + v)")
+    rounded = F.expr("shiftright(_total + if(c.bits > 0, shiftleft(1L, c.bits - 1), 0L), c.bits)")
+    return one.withColumn("_total", total).select("image_id", "block", F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.when(F.col("c.weights").isNull(), F.lit(128).cast("bigint")).otherwise(P.clip(rounded)).alias("v"))
+
+
+def mode_context(mode: Column | str) -> Column:
+    """The 4x4 mode by which a block predicted as a whole counts for its neighbours; 0 for unknown modes."""
+    known = F.array(*(F.lit(v).cast("bigint") for v in tables.MODE_CONTEXT))
+    return F.coalesce(F.get(known, P.long(mode).cast("int")), F.lit(0).cast("bigint"))
+
+
+def partition_of(row: Column | str, partitions: Column | str) -> Column:
+    """The token partition of a row of macroblocks; null without partitions."""
+    return F.when(P.long(partitions) > 0, P.long(row) % P.long(partitions))
+
+
 def filter_parameters(macroblocks: DataFrame) -> DataFrame:
     """level, interior, hev, mb_edge and sub_edge from base_level, use_segment, absolute, segment_level, use_delta, ref_delta, mode_delta, is_i4x4 and sharpness."""
     own = F.when(F.col("use_segment"), F.when(F.col("absolute"), P.long("segment_level")).otherwise(P.long("base_level") + P.long("segment_level"))).otherwise(P.long("base_level"))
@@ -158,32 +244,58 @@ def _replaced(df: DataFrame, changes: dict[str, Column], where: Column) -> DataF
     return df.withColumns({k: F.when(where, v).otherwise(P.long(k)) for k, v in changes.items()})
 
 
-def simple_edge(df: DataFrame, edge: str = "edge") -> DataFrame:
-    """Taps p1, p0, q0, q1 after the simple filter."""
+def _simple(edge: str) -> tuple[dict[str, Column], Column]:
     _, p0, q0 = _adjusted(_outer())
-    return _replaced(df, {"p0": p0, "q0": q0}, _edge_near(edge))
+    return {"p0": p0, "q0": q0}, _edge_near(edge)
 
 
-def subblock_edge(df: DataFrame, hev: str = "hev", interior: str = "interior", edge: str = "edge") -> DataFrame:
-    """TAPS after the inner-edge filter."""
+def _subblock(hev: str, interior: str, edge: str) -> tuple[dict[str, Column], Column]:
     high = high_variance(hev)
     step, p0, q0 = _adjusted(F.when(high, _outer()).otherwise(F.lit(0).cast("bigint")))
     half = P.shift(step + 1, 1)
     calm = lambda name, v: F.when(high, P.long(name)).otherwise(_pixel(v))
-    return _replaced(df, {"p0": p0, "q0": q0, "q1": calm("q1", _signed("q1") - half), "p1": calm("p1", _signed("p1") + half)}, filter_yes(interior, edge))
+    return {"p0": p0, "q0": q0, "q1": calm("q1", _signed("q1") - half), "p1": calm("p1", _signed("p1") + half)}, filter_yes(interior, edge)
 
 
-def macroblock_edge(df: DataFrame, hev: str = "hev", interior: str = "interior", edge: str = "edge") -> DataFrame:
-    """TAPS after the macroblock-edge filter."""
+def _macroblock(hev: str, interior: str, edge: str) -> tuple[dict[str, Column], Column]:
     high = high_variance(hev)
     _, p0, q0 = _adjusted(_outer())
     w = _s8(_outer() + 3 * (_signed("q0") - _signed("p0")))
     changes = {}
-    for name, factor, strong in (("p0", 27, p0), ("p1", 18, None), ("p2", 9, None)):
-        changes[name] = F.when(high, strong if strong is not None else P.long(name)).otherwise(_pixel(_signed(name) + _s8(P.shift(factor * w + 63, 7))))
-    for name, factor, strong in (("q0", 27, q0), ("q1", 18, None), ("q2", 9, None)):
-        changes[name] = F.when(high, strong if strong is not None else P.long(name)).otherwise(_pixel(_signed(name) - _s8(P.shift(factor * w + 63, 7))))
-    return _replaced(df, changes, filter_yes(interior, edge))
+    for side, strong, sign in (("p", p0, 1), ("q", q0, -1)):
+        for k, factor in enumerate((27, 18, 9)):
+            name = f"{side}{k}"
+            changes[name] = F.when(high, P.long(name) if k else strong).otherwise(_pixel(_signed(name) + sign * _s8(P.shift(factor * w + 63, 7))))
+    return changes, filter_yes(interior, edge)
+
+
+def simple_edge(df: DataFrame, edge: str = "edge") -> DataFrame:
+    """Taps p1, p0, q0, q1 after the simple filter."""
+    return _replaced(df, *_simple(edge))
+
+
+def subblock_edge(df: DataFrame, hev: str = "hev", interior: str = "interior", edge: str = "edge") -> DataFrame:
+    """TAPS after the inner-edge filter."""
+    return _replaced(df, *_subblock(hev, interior, edge))
+
+
+def macroblock_edge(df: DataFrame, hev: str = "hev", interior: str = "interior", edge: str = "edge") -> DataFrame:
+    """TAPS after the macroblock-edge filter."""
+    return _replaced(df, *_macroblock(hev, interior, edge))
+
+
+def filter_edges(df: DataFrame) -> DataFrame:
+    """TAPS after the filter that column kind names: simple, subblock (limit sub_edge) or macroblock, as any other (both with limit mb_edge); a null kind counts as macroblock."""
+    kinds = {"simple": _simple("mb_edge"), "subblock": _subblock("hev", "interior", "sub_edge"), "macroblock": _macroblock("hev", "interior", "mb_edge")}
+    own = F.when(F.col("kind").isin("simple", "subblock"), F.col("kind")).otherwise("macroblock")
+    out = {}
+    for tap in TAPS:
+        value = P.long(tap)
+        for kind, (changes, where) in kinds.items():
+            if tap in changes:
+                value = F.when((own == kind) & where, changes[tap]).otherwise(value)
+        out[tap] = value
+    return df.withColumns(out)
 
 
 def yuv_to_bgra(luma: DataFrame, chroma: DataFrame) -> DataFrame:
@@ -196,8 +308,9 @@ def yuv_to_bgra(luma: DataFrame, chroma: DataFrame) -> DataFrame:
 
 
 def token_partitions(frames: DataFrame) -> DataFrame:
-    """(image_id, part, start, size) of frames (image_id, start, end, sizes): the last part takes what is left; null sizes where a part would pass the end."""
+    """(image_id, part, start, size) of frames (image_id, start, end, sizes): the last part takes what is left. If the parts pass the end, or a size is null or negative, the frame fails: all its sizes are null."""
     one = frames.select("image_id", "end", F.expr("start + 3 * size(sizes)").cast("bigint").alias("base"), "sizes", F.explode(F.expr("sequence(0, size(sizes))")).alias("part"))
-    before = F.expr("aggregate(slice(sizes, 1, part), 0L, (a, x) -> a + x)")
-    out = one.withColumn("start", F.col("base") + before).withColumn("size", F.when(F.col("part") < F.size("sizes"), F.expr("cast(try_element_at(sizes, part + 1) as bigint)")).otherwise(F.col("end") - F.col("start")))
-    return out.select("image_id", F.col("part").cast("bigint").alias("part"), "start", F.when((F.col("start") + F.col("size") <= F.col("end")) & (F.col("size") >= 0), F.col("size")).alias("size"))
+    sum_of = lambda a: F.expr(f"aggregate({a}, 0L, (a, x) -> a + x)")
+    good = (F.col("base") + sum_of("sizes") <= F.col("end")) & F.expr("forall(sizes, x -> x >= 0)")
+    out = one.withColumn("start", F.col("base") + sum_of("slice(sizes, 1, part)")).withColumn("size", F.when(F.col("part") < F.size("sizes"), F.expr("cast(try_element_at(sizes, part + 1) as bigint)")).otherwise(F.col("end") - F.col("start")))
+    return out.select("image_id", F.col("part").cast("bigint").alias("part"), "start", F.when(good, F.col("size")).alias("size"))

@@ -21,7 +21,7 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """px with channels a, r, g, b and the packed pixel argb."""
-    out = px(spark, sf_dir).withColumns({"a": F.lit(255).cast("bigint"), "r": F.col("v"), "g": F.col("v") * 7 % 256, "b": F.col("v") * 13 % 256})
+    out = px(spark, sf_dir).withColumns({"a": F.col("v") * 11 % 256, "r": F.col("v"), "g": F.col("v") * 7 % 256, "b": F.col("v") * 13 % 256})
     return out.withColumn("argb", P.argb("a", "r", "g", "b"))
 
 
@@ -37,7 +37,7 @@ def lengths(spark: SparkSession, sf_dir: str, length: str) -> DataFrame:
 
 
 #: The same planes for DuckDB.
-PX = "px as (select vec_id::bigint as image_id, (i // 8)::bigint as y, (i % 8)::bigint as x, least(255, greatest(0, floor(embedding[i + 1]::double * 128)::bigint + 128)) as v from embeddings, range(0, 64) as t(i))"
-COLOURS = f"{PX}, c as (select *, 255::bigint as a, v as r, v * 7 % 256 as g, v * 13 % 256 as b, 255::bigint * 16777216 + v * 65536 + (v * 7 % 256) * 256 + v * 13 % 256 as argb from px)"
+PX = "px as materialized (select vec_id::bigint as image_id, (i // 8)::bigint as y, (i % 8)::bigint as x, least(255, greatest(0, floor(embedding[i + 1]::double * 128)::bigint + 128)) as v from embeddings, range(0, 64) as t(i))"
+COLOURS = f"{PX}, c as materialized (select *, v * 11 % 256 as a, v as r, v * 7 % 256 as g, v * 13 % 256 as b, (v * 11 % 256) * 16777216 + v * 65536 + (v * 7 % 256) * 256 + v * 13 % 256 as argb from px)"
 LINES = "li as (select l_orderkey::bigint as image_id, l_linenumber::bigint as pos, (l_linenumber::bigint * 31 % 256) as a, (l_partkey::bigint % 256) as r, (l_suppkey::bigint % 256) as g, (l_orderkey::bigint % 256) as b from lineitem)"
 LENGTHS = "lens as (select p_partkey::bigint // 20 as tree, p_partkey::bigint % 20 as symbol, ({})::bigint as len from part)"

@@ -7,35 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import registry_blocks, registry_files  # noqa: F401  (they register queries)
+from .catalog import ORACLE, QUERIES, clip, query, s8  # noqa: F401
 from .functions import pixels as P
 from .functions import tables
 from .operators import codes, compose, lossless, lossy
 from .plans.planes import COLOURS, LENGTHS, LINES, PX, colours, lengths, lines, px, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yuv_to_bgra(spark, sf_dir)
 
 
-def s8(x: str) -> str:
-    return f"((({x}) + 128) % 256 + 256) % 256 - 128"
-
-
-def clip(x: str, low: int = 0, high: int = 255) -> str:
-    return f"greatest({low}, least({high}, {x}))"
-
-
 # Lossless
 
 
@@ -55,9 +37,9 @@ def palette_lookup(spark, sf):
     return lossless.palette_lookup(px(spark, sf).select("image_id", "y", "x", P.shift("v", 4).alias("index")), pal)
 
 
-@query(f"with {PX} select image_id, y, x * 2 + k as x, (v >> (k * 4)::int) & 15 as index from px, range(0, 2) as t(k) where x < 2 and x * 2 + k < 3")
+@query(f"with {PX} select image_id, y, x * 2 + k as x, (v >> (k * 4)::int) & 15 as index from px, range(0, 2) as t(k)")
 def palette_unpack(spark, sf):
-    return lossless.palette_unpack(px(spark, sf).where("x < 2"), 3, 16, "v")
+    return lossless.palette_unpack(px(spark, sf), 16, 16, "v")
 
 
 def _delta(t: str, c: str) -> str:
@@ -101,7 +83,7 @@ def cache_state(spark, sf):
     return lossless.cache_state(colours(spark, sf).selectExpr("image_id", "y * 8 + x as pos", "argb"), 2)
 
 
-@query(f"with {PX} select image_id, y * 8 + x + k as pos, y * 8 + x - (1 + v % 7) + k % (1 + v % 7) as source from px, range(0, 11) as t(k) where k < 1 + v % 11")
+@query(f"with {PX} select image_id, y * 8 + x + k as pos, y * 8 + x - (1 + v % 7) + k % (1 + v % 7) as source from px, range(0, 11) as t(k) where k < 1 + v % 11 and 1 + v % 7 <= y * 8 + x")
 def copy_sources(spark, sf):
     return lossless.copied(px(spark, sf).selectExpr("image_id", "y * 8 + x as pos", "1 + v % 7 as distance", "1 + v % 11 as length"))
 
@@ -140,17 +122,17 @@ def kraft_check(spark, sf):
     return codes.validity(lengths(spark, sf, "p_size % 17"))
 
 
-@query(f"with {PX}, r as (select image_id as tree, y * 8 + x as pos, v % 16 as value, k from px, range(1, 6) as t(k) where x < 4 and k <= 1 + v % 5) select tree, row_number() over (partition by tree order by pos, k) - 1 as place, value as len from r")
+@query(f"with {PX}, r as (select image_id as tree, y * 8 + x as pos, v % 16 as value, k from px, range(1, 6) as t(k) where k <= 1 + v % 5) select tree, row_number() over (partition by tree order by pos, k) - 1 as place, value as len from r")
 def run_expansion(spark, sf):
-    return codes.expand_runs(px(spark, sf).where("x < 4").selectExpr("image_id as tree", "y * 8 + x as pos", "v % 16 as value", "1 + v % 5 as repeat"))
+    return codes.expand_runs(px(spark, sf).selectExpr("image_id as tree", "y * 8 + x as pos", "v % 16 as value", "1 + v % 5 as repeat"))
 
 
 # Lossy
 
 
-@query(f"with {LINES} select image_id, pos, b % 16 as n, {tables.ZIGZAG}[(b % 16 + 1)::int]::bigint as place, (r - 128) * (case when b % 16 = 0 then {tables.DC_STEPS}[(g % 128 + 1)::int] else {tables.AC_STEPS}[(g % 128 + 1)::int] end) as value from li where abs(r - 128) <= 115")
+@query(f"with {LINES}, p as (select image_id, pos, b % 16 as n, (r - 128) * (case when b % 16 = 0 then {tables.DC_STEPS}[(g % 128 + 1)::int] else {tables.AC_STEPS}[(g % 128 + 1)::int] end) as product from li) select image_id, pos, n, {tables.ZIGZAG}[(n + 1)::int]::bigint as place, case when product > 32767 then product - 65536 when product < -32768 then product + 65536 else product end as value from p")
 def dequantize(spark, sf):
-    levels = lines(spark, sf).selectExpr("image_id", "pos", "g % 128 as q", "b % 16 as n", "r - 128 as level").where("abs(level) <= 115")
+    levels = lines(spark, sf).selectExpr("image_id", "pos", "g % 128 as q", "b % 16 as n", "r - 128 as level")
     return lossy.dequantize(levels, F.broadcast(lossy.steps(spark)), ["q"]).select("image_id", "pos", "n", "place", "value")
 
 
@@ -168,17 +150,22 @@ def quant_table(spark, sf):
     return lossy.quantizers(frames).select("image_id", "q", "y1_dc", "y1_ac", "y2_dc", "y2_ac", "uv_dc", "uv_ac")
 
 
-_BLOCKS = f"{PX}, blk as (select image_id, list(v - 128 order by y, x) as c from px where y < 2 group by image_id)"
+_BLOCKS = f"{PX}, blk as (select image_id, (y // 4) * 2 + x // 4 as block, list(v - 128 order by y, x) as c from px group by all)"
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return compose.as_planes(px(spark, sf).where("y < 2").selectExpr("image_id", "y", "x", "v - 128 as c"), 8, 2, "c")
+    """The four 4x4 blocks of each image; image_id holds both until _block_values."""
+    return compose.as_planes(px(spark, sf).selectExpr("image_id * 4 + y div 4 * 2 + x div 4 as image_id", "y", "x", "v - 128 as c"), 4, 4, "c")
 
 
 def _values(df: DataFrame, name: str) -> DataFrame:
     return df.select("image_id", F.posexplode(name).alias("i", "value")).withColumn("i", F.col("i").cast("bigint"))
 
 
+def _block_values(df: DataFrame, name: str) -> DataFrame:
+    return _values(df, name).selectExpr("image_id div 4 as image_id", "image_id % 4 as block", "i", "value")
+
+
 def _wht_sql(at: Callable[[int, int], str], i: int, j: int) -> str:
     """Sums with the signs of the j-th basis vector."""
     signs = ("++++", "++--", "+--+", "+-+-")[j]
@@ -189,9 +176,9 @@ _WHT_ROWS = ", ".join(_wht_sql(lambda i, k: f"c[{4 * i + k + 1}]", i, j) for i i
 _WHT = ", ".join(f"({_wht_sql(lambda j, k: f't[{4 * k + j + 1}]', j, i)} + 3) >> 3" for i in range(4) for j in range(4))
 
 
-@query(f"with {_BLOCKS}, one as (select image_id, [{_WHT_ROWS}] as t from blk), two as (select image_id, [{_WHT}] as o from one) select image_id, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
+@query(f"with {_BLOCKS}, one as (select image_id, block, [{_WHT_ROWS}] as t from blk), two as (select image_id, block, [{_WHT}] as o from one) select image_id, block, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
 def iwht4x4(spark, sf):
-    return _values(lossy.inverse_wht(_blocks(spark, sf)), "wht")
+    return _block_values(lossy.inverse_wht(_blocks(spark, sf)), "wht")
 
 
 def _dct_sql(at: Callable[[int], str], k: int) -> str:
@@ -204,9 +191,9 @@ _DCT_COLUMNS = ", ".join(_dct_sql(lambda k, j=j: f"c[{4 * k + j + 1}]", i) for i
 _DCT = ", ".join(clip(f"c[{4 * i + j + 1}] + 128 + (({_dct_sql(lambda k, i=i: f't[{4 * i + k + 1}]', j)} + 4) >> 3)") for i in range(4) for j in range(4))
 
 
-@query(f"with {_BLOCKS}, one as (select image_id, c, [{_DCT_COLUMNS}] as t from blk), two as (select image_id, [{_DCT}] as o from one) select image_id, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
+@query(f"with {_BLOCKS}, one as (select image_id, block, c, [{_DCT_COLUMNS}] as t from blk), two as (select image_id, block, [{_DCT}] as o from one) select image_id, block, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
 def idct4x4(spark, sf):
-    return _values(lossy.inverse_dct(_blocks(spark, sf).withColumn("pred", F.transform("c", lambda v: v + 128))), "pixels")
+    return _block_values(lossy.inverse_dct(_blocks(spark, sf).withColumn("pred", F.transform("c", lambda v: v + 128))), "pixels")
 
 
 @query(f"with {PX} select image_id, y, x, {clip('v + ((v * 37 % 2048 - 1024 + 4) >> 3)')} as v from px")
@@ -214,10 +201,10 @@ def idct_dc_add(spark, sf):
     return px(spark, sf).withColumn("v", lossy.dc_only(F.col("v") * 37 % 2048 - 1024, "v"))
 
 
-@query(f"with {PX}, e as (select image_id, sum(v)::bigint as s, count(*) as n from px where (y = 0 or x = 0) and image_id % 3 > 0 group by image_id) select b.image_id, coalesce((s + n // 2) // n, 128)::bigint as dc from (select distinct image_id from px) b left join e on b.image_id = e.image_id")
+@query(f"with {PX} select image_id, ((sum(v) + count(*) // 2) // count(*))::bigint as dc from px where y = 0 or x = 0 group by image_id")
 def dc_predict(spark, sf):
     p = px(spark, sf)
-    return lossy.dc_prediction(p.where("(y = 0 or x = 0) and image_id % 3 > 0"), p.where("y = 0 and x = 0").select("image_id"), ["image_id"])
+    return lossy.dc_prediction(p.where("y = 0 or x = 0"), p.where("y = 0 and x = 0").select("image_id"), ["image_id"])
 
 
 @query(f"with {PX} select p.image_id, p.y, p.x, {clip('l.v + t.v - k.v')} as v from px p join px l on l.image_id = p.image_id and l.y = p.y and l.x = 0 join px t on t.image_id = p.image_id and t.y = 0 and t.x = p.x join px k on k.image_id = p.image_id and k.y = 0 and k.x = 0 where p.y > 0 and p.x > 0")
@@ -294,10 +281,10 @@ def yuv_to_bgra(spark, sf):
     return lossy.yuv_to_bgra(p.withColumnRenamed("v", "luma"), p.where("y < 4 and x < 4").selectExpr("image_id", "y", "x", "v as cb", "v * 3 % 256 as cr"))
 
 
-@query(f"with {PX}, f as (select image_id, list(v order by x) as s from px where y = 0 and x < 3 group by image_id), p as (select image_id, k as part, 109 + coalesce(list_sum(s[1:k]), 0)::bigint as start, case when k < 3 then s[k + 1] else 500 - 109 - list_sum(s) end as size from f, range(0, 4) as t(k)) select image_id, part, start, (case when start + size <= 500 and size >= 0 then size end)::bigint as size from p")
+@query(f"with {PX}, f as (select image_id * 8 + y as image_id, list(v order by x) as v from px group by image_id, y), p as (select image_id, k as part, 121 + coalesce(list_sum(v[1:k]), 0)::bigint as start, 600 + v[8] * 4 as stop, list_sum(v[1:7]) as total, v, k from f, range(0, 8) as t(k)) select image_id, part, start, (case when 121 + total <= stop then case when k < 7 then v[k + 1] else stop - start end end)::bigint as size from p")
 def token_partitions(spark, sf):
-    rows = px(spark, sf).where("y = 0 and x < 3").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("s"))
-    return lossy.token_partitions(rows.select("image_id", F.lit(100).cast("bigint").alias("start"), F.lit(500).cast("bigint").alias("end"), F.col("s.v").alias("sizes")))
+    rows = px(spark, sf).groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("s")).select(F.expr("image_id * 8 + y").alias("image_id"), F.col("s.v").alias("v"))
+    return lossy.token_partitions(rows.select("image_id", F.lit(100).cast("bigint").alias("start"), F.expr("600 + v[7] * 4").alias("end"), F.slice("v", 1, 7).alias("sizes")))
 
 
 # Alpha, composition and output
@@ -321,9 +308,9 @@ def alpha_unfilter_gradient(spark, sf):
     return compose.as_pixels(compose.unfilter_gradient(planes), "v").select("image_id", "y", F.col("x").cast("bigint").alias("x"), "v")
 
 
-@query(f"with {COLOURS} select image_id, y, x, r, g, b, v * 11 % 256 as a from c where y < 6")
+@query(f"with {COLOURS} select image_id, y, x, r, g, b, v * 11 % 256 as a from c")
 def alpha_merge(spark, sf):
-    return compose.merge_alpha(colours(spark, sf).select("image_id", "y", "x", "r", "g", "b"), px(spark, sf).where("y < 6").selectExpr("image_id", "y", "x", "v * 11 % 256 as v"))
+    return compose.merge_alpha(colours(spark, sf).select("image_id", "y", "x", "r", "g", "b"), px(spark, sf).selectExpr("image_id", "y", "x", "v * 11 % 256 as v"))
 
 
 @query(f"with {COLOURS} select image_id, y, x, r, g, b, 255::bigint as a from c")
@@ -345,50 +332,3 @@ def argb_to_bgra(spark, sf):
 @query(f"with {LINES} select image_id, pos, g from li")
 def extract_green(spark, sf):
     return lines(spark, sf).withColumn("argb", P.argb("a", "r", "g", "b")).select("image_id", "pos", P.channel("argb", "g").alias("g"))
-
-
-# Whole tables: the same operators as above, which take a part
-
-
-@query(f"with {PX} select image_id, y, x * 2 + k as x, (v >> (k * 4)::int) & 15 as index from px, range(0, 2) as t(k)")
-def palette_unpack_whole(spark, sf):
-    return lossless.palette_unpack(px(spark, sf), 16, 16, "v")
-
-
-@query(f"with {PX}, r as (select image_id as tree, y * 8 + x as pos, v % 16 as value, k from px, range(1, 6) as t(k) where k <= 1 + v % 5) select tree, row_number() over (partition by tree order by pos, k) - 1 as place, value as len from r")
-def run_expansion_whole(spark, sf):
-    return codes.expand_runs(px(spark, sf).selectExpr("image_id as tree", "y * 8 + x as pos", "v % 16 as value", "1 + v % 5 as repeat"))
-
-
-@query(f"with {LINES}, p as (select image_id, pos, b % 16 as n, (r - 128) * (case when b % 16 = 0 then {tables.DC_STEPS}[(g % 128 + 1)::int] else {tables.AC_STEPS}[(g % 128 + 1)::int] end) as product from li) select image_id, pos, n, {tables.ZIGZAG}[(n + 1)::int]::bigint as place, case when product > 32767 then product - 65536 when product < -32768 then product + 65536 else product end as value from p")
-def dequantize_whole(spark, sf):
-    levels = lines(spark, sf).selectExpr("image_id", "pos", "g % 128 as q", "b % 16 as n", "r - 128 as level")
-    return lossy.dequantize(levels, F.broadcast(lossy.steps(spark)), ["q"]).select("image_id", "pos", "n", "place", "value")
-
-
-_ALL_BLOCKS = f"{PX}, blk as (select image_id, (y // 4) * 2 + x // 4 as block, list(v - 128 order by y, x) as c from px group by all)"
-
-
-def _all_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The four 4x4 blocks of each image; image_id holds both until _block_values."""
-    return compose.as_planes(px(spark, sf).selectExpr("image_id * 4 + y div 4 * 2 + x div 4 as image_id", "y", "x", "v - 128 as c"), 4, 4, "c")
-
-
-def _block_values(df: DataFrame, name: str) -> DataFrame:
-    return _values(df, name).selectExpr("image_id div 4 as image_id", "image_id % 4 as block", "i", "value")
-
-
-@query(f"with {_ALL_BLOCKS}, one as (select image_id, block, [{_WHT_ROWS}] as t from blk), two as (select image_id, block, [{_WHT}] as o from one) select image_id, block, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
-def iwht4x4_whole(spark, sf):
-    return _block_values(lossy.inverse_wht(_all_blocks(spark, sf)), "wht")
-
-
-@query(f"with {_ALL_BLOCKS}, one as (select image_id, block, c, [{_DCT_COLUMNS}] as t from blk), two as (select image_id, block, [{_DCT}] as o from one) select image_id, block, i as i, o[i + 1]::bigint as value from two, range(0, 16) as s(i)")
-def idct4x4_whole(spark, sf):
-    return _block_values(lossy.inverse_dct(_all_blocks(spark, sf).withColumn("pred", F.transform("c", lambda v: v + 128))), "pixels")
-
-
-@query(f"with {PX} select image_id, ((sum(v) + count(*) // 2) // count(*))::bigint as dc from px where y = 0 or x = 0 group by image_id")
-def dc_predict_whole(spark, sf):
-    p = px(spark, sf)
-    return lossy.dc_prediction(p.where("y = 0 or x = 0"), p.where("y = 0 and x = 0").select("image_id"), ["image_id"])

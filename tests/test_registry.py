@@ -33,9 +33,9 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_whole_tables_are_taken(spark, duck):
     images, rows = duck.sql("select count(*) from embeddings").fetchall()[0][0], duck.sql("select count(*) from lineitem").fetchall()[0][0]
-    for name, n in (("palette_unpack_whole", 128 * images), ("iwht4x4_whole", 64 * images), ("idct4x4_whole", 64 * images), ("dc_predict_whole", images), ("dequantize_whole", rows)):
+    for name, n in (("palette_unpack", 128 * images), ("iwht4x4", 64 * images), ("idct4x4", 64 * images), ("dc_predict", images), ("dequantize", rows), ("alpha_merge", 64 * images), ("token_partitions", 64 * images)):
         assert registry.QUERIES[name](spark, SF).count() == n, name
-    assert registry.QUERIES["run_expansion_whole"](spark, SF).select("tree").distinct().count() == images
+    assert registry.QUERIES["run_expansion"](spark, SF).select("tree").distinct().count() == images
 
 
 def test_blocks_without_edges(spark):
