@@ -15,9 +15,9 @@ BLOCK members or BLOCK_SHINGLES shingles, pairs of blocks into tasks. Pairs neve
 go on with their full sets, and of a task's links as many are kept as connect its members.
 
 Pairs whose sizes can't reach the threshold are dropped before their sets are read, and so are pairs that
-differ in more than DIFFER of the 2 * SIDE * BAND minima (a byte of each) or, across
-components, in more than SHARP_DIFFER of SHARP further ones; pairs at the threshold do so with
-probabilities of 6e-6 and 1e-5. Links are confirmed on full sets.
+differ in so many of the 2 * SIDE * BAND minima (a byte of each) or, across components, of SHARP further ones, that
+a pair at the threshold does so with a probability of at most LOSS. Links are confirmed on full sets. The tables are made for thresholds of 80 % and more:
+there a pair misses all of them with a probability of 6e-4.
 
 Null or empty texts, and texts without words, have an empty set: no links, their own
 component. A null doc_id has a null component and is not kept. Repeated rows are judged alike.
@@ -26,7 +26,8 @@ component. A null doc_id has a null component and is not kept. Repeated rows are
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .components import components
 from .shared import bitmap, cut, marked, texts
 
 SIDE, BAND, SHINGLE, PERCENT = 8, 2, 5, 85
-DIFFER, SHARP, SHARP_DIFFER, BLOCK, BLOCK_SHINGLES, STEP = 15, 256, 64, 2048, 8 << 20, 1 << 19
+LOSS, SHARP, BLOCK, BLOCK_SHINGLES, STEP = 1e-5, 256, 2048, 8 << 20, 1 << 19
 _HASHES = 2 * SIDE * BAND
 _SKETCH = [f"s{k}" for k in range(_HASHES // 8)]
 
@@ -178,9 +179,20 @@ def _differing(a: str, b: str) -> str:
     return f"bit_count(({y} | shiftrightunsigned({y}, 1)) & 72340172838076673L)"
 
 
+@lru_cache
+def may_differ(percent: int, n: int) -> int:
+    """The least number of n minima that a pair at the threshold exceeds in differing with a probability of at most LOSS."""
+    p = 1 - percent / 100
+    tail, k = 1.0, -1
+    while tail > LOSS:
+        k += 1
+        tail -= comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
+
+
 def _may_link(percent: int) -> str:
     """SQL condition on the rows `a` and `b`."""
-    return f"100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles) and {' + '.join(_differing(f'a.{c}', f'b.{c}') for c in _SKETCH)} <= {DIFFER}"
+    return f"100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles) and {' + '.join(_differing(f'a.{c}', f'b.{c}') for c in _SKETCH)} <= {may_differ(percent, _HASHES)}"
 
 
 def _table_keys() -> F.Column:
@@ -210,12 +222,12 @@ def _near_pairs(rows: pa.RecordBatch, percent: int) -> np.ndarray:
         b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
         keep = (c[a] != c[b]) & ((p[a] == q[a]) | (side[a] != side[b])) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
         a, b = a[keep], b[keep]
-        keep = (sketch[a] != sketch[b]).sum(axis=1) <= DIFFER
+        keep = (sketch[a] != sketch[b]).sum(axis=1) <= may_differ(percent, _HASHES)
         a, b = a[keep], b[keep]
         same = bands[a] == bands[b]
         keep = same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == table[a]
         a, b = a[keep], b[keep]
-        keep = (sharp[a] != sharp[b]).sum(axis=1) <= SHARP_DIFFER
+        keep = (sharp[a] != sharp[b]).sum(axis=1) <= may_differ(percent, SHARP)
         out.append(np.stack([a[keep], b[keep]]))
         i = j
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
