@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import bitmap, cut, marked, texts, without
+from .shared import bitmap, cut, free_name, marked, texts
 
 MATCH, COVERAGE, BLOCK, STEP = 5, 0.5, 8 << 20, 4 << 20
 SCHEMA = "doc_id long, item_id long, n_tiles int, covered int, item_tokens int, coverage double"
@@ -193,5 +193,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, n: int
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item; rows with a null doc_id stay."""
-    return without(docs, leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")
+    """The rows of docs whose text leaks no item, with their columns; a text is known by its hash, so rows without doc_id are judged like all others."""
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    bad = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("bad_key")).distinct()
+    bad = cut(bad, "leaks").withColumnRenamed("bad_key", free_name(keyed, "bad_key"))
+    return keyed.join(bad, keyed[key] == bad[bad.columns[0]], "left_anti").drop(key)

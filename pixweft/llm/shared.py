@@ -75,10 +75,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores behind it if a column of df has it."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """The rows of docs whose doc_id isn't in gone (doc_id, one row each), with their columns, whatever those are called."""
-    key = "gone_id"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
+    key = free_name(docs, "gone_id")
     ids = cut(gone.select(F.col("doc_id").alias(key)), name)
     return docs.join(ids, docs["`doc_id`"] == ids[key], "left_anti")

@@ -10,7 +10,7 @@ import pydoc_data.topics
 import pytest
 import zstandard
 
-from pixweft.llm import bpe, decontam, idfile, langid, lm, neardup, quality, shared, textkernel, toxicity
+from pixweft.llm import bpe, decontam, idfile, langid, lm, neardup, quality, queries, shared, textkernel, toxicity, urls
 
 from . import brute
 from .tables import clashing, odd_documents, odd_rows, prose
@@ -234,3 +234,40 @@ def test_models_are_averaged_by_tokens():
     (got,) = lm._averaged(iter(batches))
     mean = sum(n * w.astype(float) for n, w in rows) / 1111
     assert got.column(0).to_pylist() == [1111] and np.allclose(np.frombuffer(got.column(1)[0].as_py(), "<f4"), mean, atol=1e-5)
+
+
+def test_urls_by_sql_on_generated_ones(spark, tmp_path):
+    """Hosts, paths and pattern words in all kinds of combinations: the index must not change a verdict."""
+    import duckdb
+
+    rng = random.Random(4)
+    words = ["ads", "ads-track", "track", "spam-farm", "spam", "farm", "casino", "casino-royal", "free-bet", "free-bets", "bets", "adult-x", "adult", "porn", "porn-tube", "cheap-pills", "pills", "warez", "verify-your-account", "link-farm", "example", "net", "org", "com", "io"]
+    made = []
+    for _ in range(1500):
+        host = rng.choice([".", "-"]).join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + rng.choice([".org", ".com", ".net", "", ".example.org"])
+        path = rng.choice(["", "/", "/es/", "/en/1", "/fr/", "/de/x", f"/{rng.choice(words)}/", f"/a_{rng.choice(words)}.html"]) + rng.choice(["", "?q", "?PHPSESSID=0af", "#/de/", ";phpsessid=1"])
+        url = rng.choice(["http://", "https://", "HTTP://", "", "://"]) + (host.upper() if rng.random() < 0.1 else host) + path
+        made.append((len(made), url))
+    spark.createDataFrame(made, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE["op3_url_filters"])
+    got = queries.op3_url_filters(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    hit = Counter(r.pattern for r in urls.judge(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect())
+    assert {p.name for p in urls.PATTERNS} <= set(hit)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    assert [neardup.may_differ(85, n) for n in (32, 256)] == [15, 65]
+    base = prose(1, 400).split()
+    rng = random.Random(percent)
+    rows = []
+    for i in range(120):
+        ws, at = list(base if i < 60 else prose(i % 7, 300).split()), rng.randrange(0, 14)
+        for k in rng.sample(range(len(ws)), at):
+            ws[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(ws)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.near_duplicates(rows, percent)

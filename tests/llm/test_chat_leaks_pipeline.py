@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pixweft.llm import chat, decontam, langid, quality, queries, stages
@@ -193,8 +194,16 @@ def single(spark, docs, path):
 
 
 def clean(spark, docs, path):
-    bad = {k[0] for k in leaks_of(rows(docs), [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()])}
-    return Counter(r for r in rows(docs) if r[0] is None or r[0] not in bad)
+    own = rows(docs)
+    bad = {k[0] for k in leaks_of(list(enumerate(t for _, t in own)), [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()])}
+    return Counter(r for k, r in enumerate(own) if k not in bad)
+
+
+def test_leaks_without_an_id_go(spark):
+    item = prose(500, 40)
+    docs = clashing(spark.createDataFrame([(None, f"{prose(1, 9)} {item}"), (None, prose(2, 50)), (1, None), (1, item), (1, prose(3, 50))], "doc_id long, text string")).withColumn("text_key", F.lit(1))
+    left = decontam.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(None, prose(2, 50)), (1, None), (1, prose(3, 50))])
 
 
 def coded(spark, docs, path):
