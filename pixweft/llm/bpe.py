@@ -28,7 +28,7 @@ from . import textkernel as K
 from .shared import texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-SLICE, CACHE = 2 << 20, 200_000
+SLICE, CACHE = 1 << 20, 200_000
 _NONE = np.int64(1 << 40)
 _SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")

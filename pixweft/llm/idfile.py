@@ -176,7 +176,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
         return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([ids.view(np.uint8).reshape(-1, 2).T.tobytes()], pa.binary())], [x.split()[0] for x in RAW.split(", ")])
 
     for batch in batches:
-        for i, j, data, off in K.slices(batch.column(1)):
+        for i, j, data, off in K.slices(batch.column(1), 4 << 20):
             *own, at = pieces(data, off)
             ids, n_ids = encoder(path).ids(data, *own)
             total = np.zeros(len(n_ids) + 1, np.int64)

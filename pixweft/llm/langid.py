@@ -17,7 +17,6 @@ A null doc_id hashes as an empty string. Repeated rows are judged alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,19 +98,29 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    root = np.zeros(size, np.int64)
+    root = np.zeros(size, np.int32)
     for s, to in moves[0].items():
         root[s] = to
-    table = np.tile(root * size * 2 + 1, (len(moves), 1))
+    table = np.tile(root * np.int32(size * 2) + np.int32(1), (len(moves), 1))
     for state, row in enumerate(moves):
         for s, to in row.items():
             table[state, s] = to * size * 2
-    table[0, :] = root * size * 2 + 1  # every phrase counts when it starts
-    return table.astype(np.int32).ravel()
+    table[0, :] = root * np.int32(size * 2) + np.int32(1)  # every phrase counts when it starts
+    return table.ravel()
+
+
+_built: dict[tuple[tuple[str, str], ...], tuple[Alphabet, list[str], list[np.ndarray]]] = {}
 
 
-@lru_cache(1)
 def models(rows: tuple[tuple[str, str], ...]) -> tuple[Alphabet, list[str], list[np.ndarray]]:
+    """The automata of a sample; a worker keeps one sample's, and drops them before it builds others."""
+    if rows not in _built:
+        _built.clear()
+        _built[rows] = _models(rows)
+    return _built[rows]
+
+
+def _models(rows: tuple[tuple[str, str], ...]) -> tuple[Alphabet, list[str], list[np.ndarray]]:
     alphabet = Alphabet("".join(t for _, t in rows))
     names = sorted({name for name, _ in rows})
     out = []
@@ -150,7 +159,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], rows: tuple[tuple[str, str], .
     for batch in batches:
         alphabet, names, tables = models(rows)
         parts = []
-        for _, _, data, off in K.slices(batch.column(0), 2 << 20):
+        for _, _, data, off in K.slices(batch.column(0), 1 << 19):
             points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
             heads = np.zeros(len(data) + 1, np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=heads[1:])

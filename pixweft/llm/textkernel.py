@@ -68,7 +68,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about `limit` bytes; one longer text comes alone."""
     data, off = buffers(column)
     n, i = len(off) - 1, 0
