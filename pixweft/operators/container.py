@@ -68,6 +68,11 @@ def _shown(tag: Column | str) -> Column:
     return F.when(tag == "\0\0\0\0", "----").otherwise(F.substring_index(tag, "\0", 1))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows, one for each image_id, as an aggregate on the partitioning they have: later filters and columns then refer to its values and don't repeat their long expressions."""
+    return df.groupBy("image_id").agg(F.first(F.struct(*(c for c in df.columns if c != "image_id"))).alias("_row")).select("image_id", "_row.*")
+
+
 def probe(chunks: DataFrame) -> DataFrame:
     """parts() with width, height (null on failure), reason, chunk and stage."""
     p = parts(chunks)
@@ -77,7 +82,7 @@ def probe(chunks: DataFrame) -> DataFrame:
     cases = [(~F.col("good"), "invalid-header", "----", "container"), (F.col("bad").isNotNull(), "chunk-bounds", _shown("bad"), "container"), (none, "missing-image-payload", "----", "container"), (F.col("width").isNull(), "invalid-dimensions", "----", "ok")]
     p = p.select("*", *_errors(cases, ("ok", "----", "ok")))
     ok = F.col("reason") == "ok"
-    return p.withColumns({"width": F.when(ok, F.col("width")), "height": F.when(ok, F.col("height"))})
+    return _settled(p.withColumns({"width": F.when(ok, F.col("width")), "height": F.when(ok, F.col("height"))}))
 
 
 def needed_bytes(stride: Column, height: Column) -> Column:
@@ -137,4 +142,4 @@ def outcome(chunks: DataFrame, stride: Column, size: Column) -> DataFrame:
     errors = _errors([*before, *after], ("ok", shown, "ok"))
     path = F.when(asked, F.when(moving, F.concat(F.lit("frame "), frame_path)).otherwise(still_path)).alias("path")
     kept = [c for c in p.columns if c not in ("reason", "chunk", "stage", "_stride", "_size")]
-    return p.select(*kept, path, (~fails).alias("done"), *errors)
+    return _settled(p.select(*kept, path, (~fails).alias("done"), *errors))
