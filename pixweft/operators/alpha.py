@@ -26,12 +26,13 @@ def raw_samples(planes: DataFrame) -> DataFrame:
 
 
 def unfiltered(samples: DataFrame) -> DataFrame:
-    """(image_id, y, x, v) with each image's filter undone: 0 none, 1 along rows, 2 along columns, 3 gradient."""
-    own = lambda k: samples.where(F.col("filter") == k).select("image_id", "y", "x", "v")
+    """(image_id, y, x, v) with each image's filter undone: 0 none, 1 along rows, 2 along columns, 3 gradient. Kinds 0 to 2 share one pass of windows, columns turned to rows."""
+    turn = lambda df, v: df.select("image_id", "filter", F.when(F.col("filter") == 2, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(F.col("filter") == 2, F.col("y")).otherwise(F.col("x")).alias("x"), v.alias("v"), F.col("v").alias("raw"))
+    sums = compose.unfilter_horizontal(turn(samples.where("filter < 3"), F.col("v")))
+    flat = turn(sums, F.when(F.col("filter") == 0, F.col("raw")).otherwise(F.col("v")))
     planes = samples.where(F.col("filter") == 3).groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("cells"))
     gradient = compose.as_pixels(compose.unfilter_gradient(planes.select("image_id", "width", "height", F.col("cells.v").alias("v"))), "v")
-    parts = [own(0), compose.unfilter_horizontal(own(1)), compose.unfilter_vertical(own(2)), gradient]
-    return reduce(DataFrame.unionByName, [p.select("image_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("v").cast("bigint").alias("v")) for p in parts])
+    return reduce(DataFrame.unionByName, [p.select("image_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("v").cast("bigint").alias("v")) for p in (flat, gradient)])
 
 
 def applied(pixels: DataFrame, planes: DataFrame) -> DataFrame:

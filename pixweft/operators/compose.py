@@ -36,16 +36,16 @@ def gradient_residuals(plane: DataFrame) -> DataFrame:
 
 
 def undo_gradient(residual: np.ndarray) -> np.ndarray:
-    """Planes (image, y, x) of one size, side by side: every step clips, so a plane is sequential."""
+    """Planes (image, y, x) of one size, side by side. Edges are running sums; every other step clips, so the inside goes diagonal by diagonal."""
     out = residual.astype(np.int64).copy()
     _, height, width = out.shape
-    for y in range(height):
-        for x in range(width):
-            if y and x:
-                guess = np.clip(out[:, y, x - 1] + out[:, y - 1, x] - out[:, y - 1, x - 1], 0, 255)
-            else:
-                guess = out[:, y, x - 1] if x else out[:, y - 1, x] if y else 0
-            out[:, y, x] = (out[:, y, x] + guess) & 255
+    out[:, :1] = np.cumsum(out[:, :1], axis=2) & 255
+    out[:, :, :1] = np.cumsum(out[:, :, :1], axis=1) & 255
+    for d in range(2, height + width - 1):
+        y = np.arange(max(1, d - width + 1), min(height, d))
+        x = d - y
+        guess = np.clip(out[:, y, x - 1] + out[:, y - 1, x] - out[:, y - 1, x - 1], 0, 255)
+        out[:, y, x] = (out[:, y, x] + guess) & 255
     return out
 
 

@@ -127,24 +127,22 @@ def _predict(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, r
 
 
 def undo_predictor(residual: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
-    """Inverse predictor of planes (image, y, x, 4) of one size; modes (image, by, bx). Sequential over a plane's pixels, side by side over images."""
+    """Inverse predictor of planes (image, y, x, 4) of one size; modes (image, by, bx). Edges are running sums; the inside goes by pixels of equal x + 2y, which need only earlier ones, side by side over images."""
     out = residual.astype(np.int64).copy()
     _, height, width, _ = out.shape
-    black = np.array([255, 0, 0, 0])
-    for y in range(height):
-        for x in range(width):
-            if not y:
-                pred = out[:, 0, x - 1] if x else black
-            elif not x:
-                pred = out[:, y - 1, 0]
-            else:
-                left, top, corner, right = out[:, y, x - 1], out[:, y - 1, x], out[:, y - 1, x - 1], out[:, y - 1, min(x + 1, width - 1)]
-                mode = modes[:, y >> bits, x >> bits]
-                pred = np.empty_like(left)
-                for m in np.unique(mode):
-                    at = mode == m
-                    pred[at] = _predict(int(m), left[at], top[at], corner[at], right[at])
-            out[:, y, x] = (out[:, y, x] + pred) & 255
+    out[:, :1, :1] += np.array([255, 0, 0, 0])
+    out[:, :1] = np.cumsum(out[:, :1], axis=2) & 255
+    out[:, :, :1] = np.cumsum(out[:, :, :1], axis=1) & 255
+    for d in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, (d - width + 2) // 2), min(height - 1, (d - 1) // 2) + 1)
+        x = d - 2 * y
+        left, top, corner, right = out[:, y, x - 1], out[:, y - 1, x], out[:, y - 1, x - 1], out[:, y - 1, np.minimum(x + 1, width - 1)]
+        mode = modes[:, y >> bits, x >> bits]
+        pred = np.empty_like(left)
+        for m in np.unique(mode):
+            at = mode == m
+            pred[at] = _predict(int(m), left[at], top[at], corner[at], right[at])
+        out[:, y, x] = (out[:, y, x] + pred) & 255
     return out
 
 

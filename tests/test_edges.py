@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,30 @@ def test_alpha_planes_that_give_no_rows(spark):
     assert by == {1: [97, 98, 99, 100], 5: [1, 3, 4, 5]}
 
 
+def test_planes_undone_pixel_by_pixel():
+    rng = np.random.default_rng(5)
+    for h, w in ((1, 1), (1, 9), (9, 1), (2, 2), (5, 11), (11, 4), (16, 16), (0, 3)):
+        flat = rng.integers(0, 256, (3, h, w))
+        done = flat.copy()
+        for y in range(h):
+            for x in range(w):
+                guess = np.clip(done[:, y, x - 1] + done[:, y - 1, x] - done[:, y - 1, x - 1], 0, 255) if x and y else done[:, y, x - 1] if x else done[:, y - 1, x] if y else 0
+                done[:, y, x] = (done[:, y, x] + guess) & 255
+        assert (compose.undo_gradient(flat) == done).all(), (h, w)
+        pixels, modes = rng.integers(0, 256, (3, h, w, 4)), rng.integers(0, 15, (3, h // 4 + 1, w // 4 + 1))
+        done = pixels.copy()
+        for k in range(3):
+            for y in range(h):
+                for x in range(w):
+                    if x and y:
+                        near = [done[k, y, x - 1], done[k, y - 1, x], done[k, y - 1, x - 1], done[k, y - 1, min(x + 1, w - 1)]]
+                        guess = lossless._predict(int(modes[k, y // 4, x // 4]), *near)
+                    else:
+                        guess = done[k, y, x - 1] if x else done[k, y - 1, x] if y else np.array([255, 0, 0, 0])
+                    done[k, y, x] = (done[k, y, x] + guess) & 255
+        assert (lossless.undo_predictor(pixels, modes, 2) == done).all(), (h, w)
+
+
 def test_empty_tables(spark, tmp_path):
     for name, kinds in (("embeddings", "vec_id long, embedding array<float>, label int"), ("part", "p_partkey long, p_name string, p_size int"), ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")):
         spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/{name}.parquet")
