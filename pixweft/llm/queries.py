@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, idfile, langid, lm, neardup, quality, toxicity, urls
+from . import bpe, chat, decontam, idfile, langid, lm, neardup, quality, spelling, toxicity, urls
 from .shared import documents
 
 
@@ -55,7 +55,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination)}
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(documents(spark, sf_dir), losing=97)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination, op13_spelling_variant_grouping)}
 
 
 def _op2_sql() -> str:
