@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, idfile, langid, lm, neardup, quality, spelling, toxicity, urls
+from . import bpe, chat, decontam, idfile, langid, lm, neardup, periods, quality, spelling, toxicity, urls
 from .shared import documents
 
 
@@ -55,11 +55,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def periodic_runs(docs: DataFrame) -> DataFrame:
+    """Digests of the runs of docs with repeated ends, and the run with the greatest length / period."""
+    greatest = lambda a, b: (b["length"] * a["period"] - a["length"] * b["period"], a["start"] - b["start"], a["period"] - b["period"])
+
+    def order(a: Column, b: Column) -> Column:
+        steps = [F.signum(x).cast("int") for x in greatest(a, b)]
+        return F.when(steps[0] != 0, steps[0]).when(steps[1] != 0, steps[1]).otherwise(steps[2])
+
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    out = periods.runs(docs, tails=True).withColumn("best", best)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col("best")[c].alias(c) for c in ("start", "length", "period")), F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(documents(spark, sf_dir))
+
+
 def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(documents(spark, sf_dir), losing=97)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination, op13_spelling_variant_grouping)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination, op12_periodic_run_detection, op13_spelling_variant_grouping)}
 
 
 def _op2_sql() -> str:
