@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, idfile, langid, lm, neardup, periods, quality, spelling, toxicity, urls
+from . import ann, bpe, chat, decontam, idfile, langid, lm, neardup, periods, quality, spelling, toxicity, urls
 from .shared import documents
 
 
@@ -55,6 +55,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def periodic_runs(docs: DataFrame) -> DataFrame:
     """Digests of the runs of docs with repeated ends, and the run with the greatest length / period."""
     greatest = lambda a, b: (b["length"] * a["period"] - a["length"] * b["period"], a["start"] - b["start"], a["period"] - b["period"])
@@ -77,7 +81,7 @@ def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFram
     return spelling.group(documents(spark, sf_dir), losing=97)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination, op12_periodic_run_detection, op13_spelling_variant_grouping)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encoding_and_decoding, op2_chat_formatting, op3_url_filters, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_toxicity, op8_language_id, op9_quality_rules, op10_benchmark_decontamination, op11_approximate_nearest_neighbours, op12_periodic_run_detection, op13_spelling_variant_grouping)}
 
 
 def _op2_sql() -> str:
