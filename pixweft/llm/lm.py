@@ -5,10 +5,10 @@ text. Word counts come from all training texts. The HEAD most frequent tokens li
 of CLASS words with a softmax of their own; all others lie in a class for each power of two of their
 count, where a word's share is its count's; unseen words are one more class of one entry.
 A gated recurrent unit reads the tokens (the others as their class) and gives the class and the head word.
-It is trained in tasks on every token of every training text, in ROUNDS rounds: each partition goes by truncated
-backpropagation (windows of WINDOW tokens, state carried on) through its own texts from the weights at hand, and the weights of all,
-by their tokens, are averaged. From ENOUGH training tokens on each round takes its share of the texts, so that each is read once; below,
-each round takes all. In scoring, too, the state is carried to the end of each text. The weights depend on how the texts are dealt.
+It is trained in tasks on every token of every training text, once: each of ROUNDS rounds takes the texts whose hash falls to it, deals them by their hash into partitions of about PART tokens, and each partition
+goes by truncated backpropagation (windows of WINDOW tokens, state carried on) through its own texts, in order of their hash, from the weights at hand; then the weights of all,
+by their tokens, are averaged. So training is the same work for each token at any size of the input, and neither cores nor file splits change what a partition holds.
+In scoring, too, the state is carried to the end of each text.
 
 Texts don't move. A task turns slices of about SLICE bytes of whole texts into input ids (two bytes a token) with the counts of the most frequent words, FREQUENT
 at most, which it is sent. Of the other words each slice's distinct ones are joined with all counts, and what comes back is filled into the slice's ids.
@@ -33,12 +33,10 @@ from . import textkernel as K
 from .shared import cut, texts
 
 FOLDS, HEAD, CLASS, POWERS, HIDDEN, FREQUENT = 10, 1600, 40, 24, 16, 1 << 18
-WINDOW, LANES, UPDATES, BLOCK, ROUNDS, ENOUGH, RATE, SLICE, FAN_IN = 16, 512, 128, 2 << 20, 4, 16 << 20, 0.01, 4 << 20, 16
-#: Training tokens of a partition: at least, where there are cores for more partitions, and at most.
-LEAST, MOST = 1 << 19, 16 << 20
+WINDOW, LANES, UPDATES, BLOCK, PART, ROUNDS, RATE, SLICE, FAN_IN = 16, 512, 256, 2 << 20, 4 << 20, 4, 0.01, 4 << 20, 16
 END, TAIL = np.uint64(0xE4D0F7E87), 0xFFFF
 SLICES = "slice long, word long, number int, n_tail int, doc_ids array<long>, held_out array<boolean>, sizes array<long>, n_known array<long>, base array<double>, share array<double>, ids binary, refs binary"
-ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, share double, round int, ids binary"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, share double, ids binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -321,17 +319,17 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([held[0][1]], pa.binary())], ["tokens", "weights"])
 
 
-def train(v: Vocabulary, encoded: DataFrame) -> Model:
-    """The model after ROUNDS rounds over the training rows of encoded; in each, weights are averaged by FAN_IN in tasks until at most FAN_IN models are left for the driver."""
+def train(v: Vocabulary, encoded: DataFrame, part: int = PART) -> Model:
+    """The model after ROUNDS rounds over the training rows of encoded, each row in one of them; in each, weights are averaged by FAN_IN in tasks until at most FAN_IN models are left for the driver."""
     m = new_model(v)
     if not v.total:
         return m
-    training, each = encoded.where("not held_out"), v.total // ROUNDS if v.total >= ENOUGH else v.total
-    parts = max(-(-each // MOST), min(encoded.sparkSession.sparkContext.defaultParallelism, -(-each // LEAST)))
+    parts = -(-v.total // (ROUNDS * part))
+    training = encoded.where("not held_out").select("ids", "doc_id", F.xxhash64("doc_id", "ids").alias("mark"))
     for k in range(ROUNDS):
-        own = training.where(F.col("round") == k) if v.total >= ENOUGH else training
         shared, rate = encoded.sparkSession.sparkContext.broadcast((m, v)), RATE / (1 + 0.5 * k)
-        learned, left = own.select("ids").repartition(parts).mapInArrow(lambda batches, shared=shared, rate=rate: _learned(batches, *shared.value, rate), WEIGHTS), parts
+        own = training.where(F.pmod("mark", F.lit(ROUNDS)) == k).repartition(parts, "mark").sortWithinPartitions("mark", "doc_id")
+        learned, left = own.select("ids").mapInArrow(lambda batches, shared=shared, rate=rate: _learned(batches, *shared.value, rate), WEIGHTS), parts
         while left > FAN_IN:
             left = -(-left // FAN_IN)
             learned = learned.repartition(left).mapInArrow(_averaged, WEIGHTS)
@@ -422,7 +420,7 @@ def _filled(texts_: pa.Table, words: pa.Table, v: Vocabulary) -> pa.Table:
     ids[at] = own[refs]
     more = lambda x: np.bincount(doc, weights=x[refs], minlength=len(size))
     columns = [row["doc_ids"].values, row["held_out"].values, pa.array(size), pa.array(row["n_known"].values.to_numpy() + more(count > 0).astype(np.int64)), pa.array(row["base"].values.to_numpy() + more(v.base(count)))]
-    columns += [pa.array(row["share"].values.to_numpy() + more(share)), pa.array(((np.arange(len(size)) + row["slice"].as_py()) % ROUNDS).astype(np.int32))]
+    columns.append(pa.array(row["share"].values.to_numpy() + more(share)))
     columns.append(pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(2 * first), pa.py_buffer(ids.tobytes())]).cast(pa.binary()))
     return pa.Table.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
 

@@ -227,6 +227,32 @@ def test_language_model_by_plain_steps(spark, monkeypatch, frequent):
     assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == base
 
 
+@pytest.mark.parametrize("part", [1 << 9, 1 << 11, 1 << 22])
+def test_every_training_token_is_read_once_at_any_size(spark, monkeypatch, part):
+    """Large and small inputs alike: `part` stands for the input's size. What a round reads is told by the models' token counts."""
+    rows = [(i, f"{prose(i, 60)} rare{i % 17}") for i in range(150)] + [(400, None), (401, prose(1, 30)), (401, prose(1, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v, encoded = lm.encode(docs)
+    read = []
+
+    def mean(models):
+        read.append(sum(t for t, _ in models))
+        return real(models)
+
+    real = lm._mean
+    monkeypatch.setattr(lm, "_mean", mean)
+    lm.train(v, encoded, part)
+    assert len(read) == lm.ROUNDS and sum(read) == v.total and min(read) > 0
+
+
+def test_scores_don_t_depend_on_how_texts_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm.train, "__defaults__", (1 << 9,))
+    rows = [(i, f"{prose(i, 60)} rare{i % 17}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in lm.score(d).collect()} for d in (docs.repartition(1), docs.repartition(7, "text")))
+    assert one.keys() == two.keys() and all(math.isclose(one[i], two[i], rel_tol=1e-5) for i in one)
+
+
 def test_models_are_averaged_by_tokens():
     rng = np.random.default_rng(1)
     rows = [(int(n), rng.standard_normal(5).astype("<f4")) for n in (1, 10, 100, 1000)]
