@@ -71,7 +71,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schema, other
     one = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "arguments", "tool", "after", "conv_id")).alias("x")).select("call_id", *(F.col(f"x.{c}").alias(c) for c in own))
     answer = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"))
     both = one.join(answer, "call_id", "full_outer")
-    both = both.join(levels(one.select("call_id", "after")), "call_id", "left").join(schema_rows(calls.sparkSession, schemas), "tool", "left")
+    both = both.join(levels(one.select("call_id", "after")), "call_id", "left").join(F.broadcast(schema_rows(calls.sparkSession, schemas)), "tool", "left")
     is_call = F.col("level").isNotNull() | F.col("dangling").isNotNull()
     both = both.withColumn("args", F.try_parse_json("arguments")).withColumn("errors", F.when(is_call, _errors()))
     both = both.withColumn("errors", F.when(is_call, F.concat("errors", F.when(F.col("dangling"), F.array(F.lit("unknown dependency"))).otherwise(F.array().cast("array<string>")), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))))
