@@ -20,7 +20,8 @@ a pair at the threshold does so with a probability of at most LOSS. Links are co
 there a pair misses all of them with a probability of 6e-4.
 
 Null or empty texts, and texts without words, have an empty set: no links, their own
-component. A null doc_id has a null component and is not kept. Repeated rows are judged alike.
+component. A null doc_id has a null component and is not kept. Repeated rows are judged alike. A doc_id that comes with several texts is one document with several sets:
+what links to any of them is in its component, and its rows with an empty set are too.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ SIDE, BAND, SHINGLE, PERCENT = 8, 2, 5, 85
 LOSS, SHARP, BLOCK, BLOCK_SHINGLES, STEP = 1e-5, 256, 2048, 8 << 20, 1 << 19
 _HASHES = 2 * SIDE * BAND
 _SKETCH = [f"s{k}" for k in range(_HASHES // 8)]
+SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -285,10 +287,28 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
+def _several_texts(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """near_duplicates() of documents whose doc_id may come with several sets: rows are numbered and linked by their numbers, then those of one doc_id are one."""
+    numbered = cut(texts(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    named = numbered.where("doc_id is not null")
+    found = near_duplicates(named.select(F.col("row").alias("doc_id"), "text"), percent, n).withColumnRenamed("doc_id", "row").drop("kept")
+    own = cut(named.select("row", "doc_id").join(found, "row").drop("row"), "rows")
+    first = own.groupBy("component_id").agg(F.min("doc_id").alias("b"))
+    label = components(own.select("component_id", F.col("doc_id").alias("a")).join(first, "component_id").select("a", "b")).select(F.col("id").alias("doc_id"), "component")
+    least = own.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    out = own.join(least, "class_id", "left").join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    rest = numbered.where("doc_id is null").select("doc_id", "text").mapInArrow(partial(_signatures, n=n), SIGNATURES)
+    none = F.lit(None).cast("long")
+    out = out.unionByName(rest.select("doc_id", "n_shingles", none.alias("class_id"), none.alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept): one row for each row of docs. class_id is the least id with the same set."""
-    kinds = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
-    sig = cut(texts(docs).mapInArrow(partial(_signatures, n=n), kinds), "signatures")
+    sig = cut(texts(docs).mapInArrow(partial(_signatures, n=n), SIGNATURES), "signatures")
+    twice = sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), *(F.min(c).alias(f"{c}_low") for c in ("d1", "d2", "n_shingles")), *(F.max(c).alias(f"{c}_high") for c in ("d1", "d2", "n_shingles")))
+    if twice.where("rows > 1 and (d1_low <> d1_high or d2_low <> d2_high or n_shingles_low <> n_shingles_high)").limit(1).count():
+        return _several_texts(docs, percent, n)
     sets = sig.where("n_shingles > 0 and doc_id is not null")
     least = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     reps = sets.join(least.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id").drop("d1", "d2")

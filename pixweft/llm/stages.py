@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, neardup, quality
-from .shared import without
+from .shared import column, free_name, without
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +21,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates, with its columns; of rows with one doc_id one stays, and all rows without doc_id."""
+    """The document with the least doc_id of each group of near-duplicates, with its columns; of rows with one doc_id that with the least text stays, and all rows without doc_id."""
     gone = neardup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
     left = without(docs, gone, "gone")
     repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null")) if repeated else left
+    if not repeated:
+        return left
+    place = free_name(left, "place")
+    first = left.where("doc_id is not null").withColumn(place, F.row_number().over(W.partitionBy(column("doc_id")).orderBy(column("text")))).where(F.col(place) == 1).drop(place)
+    return first.unionByName(left.where("doc_id is null"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
