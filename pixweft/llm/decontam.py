@@ -8,7 +8,7 @@ cover at least COVERAGE of the item's tokens.
 
 Seeds are joined on their hashes (64 bits; a chance hit is one window and can't cover an item). A benchmark of at most BLOCK characters is broadcast for that, and each text is tiled where it is read.
 A larger one is not: its seeds and the windows of the texts that a bitmap of 2 ** MARKS bits lets through are shuffled and joined, in one pass over
-the texts, and each text and item with a hit is tiled in a group of its own. Null texts, empty texts, empty tables and items of under MATCH tokens give no rows;
+the texts. An item is looked for by its rarer seeds only, as many as a leak can't do without; the pairs of a text and an item so found are joined with all their hits and tiled, many to a batch. Null texts, empty texts, empty tables and items of under MATCH tokens give no rows;
 a repeated document row gives its rows again, a repeated item id counts as another item.
 """
 
@@ -20,12 +20,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import bitmap, cut, free_name, marked, texts
+from .shared import bitmap, column, cut, free_name, marked, texts
 
 MATCH, COVERAGE, BLOCK, STEP = 5, 0.5, 8 << 20, 4 << 20
 SCHEMA = "doc_id long, item_id long, n_tiles int, covered int, item_tokens int, coverage double"
@@ -165,11 +166,27 @@ def _seeds_of(batches: Iterator[pa.RecordBatch], n: int, marks: np.ndarray | Non
         row += batch.num_rows
 
 
-def _group_tiled(hits: pa.Table, n: int, least: float) -> pa.Table:
-    need = hits.column("item_tokens")[0].as_py()
-    found = _coverage(hits.column("pos").to_numpy().astype(np.int64), hits.column("item_pos").to_numpy().astype(np.int64), need, n, least)
-    rows = [(hits.column("doc_id")[0].as_py(), hits.column("item_id")[0].as_py(), *found, need, found[1] / need)] if found else []
-    return pa.Table.from_arrays(_rows(rows), _NAMES)
+def _pairs_tiled(batches: Iterator[pa.RecordBatch], n: int, least: float) -> Iterator[pa.RecordBatch]:
+    """SCHEMA of hits in order of (doc, item); a pair may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pa.concat_batches([rest, batch])
+        doc, item = batch.column("doc").to_numpy(), batch.column("item").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1).tolist()]
+        yield _pair_rows(batch, cuts, n, least)
+        rest = batch.slice(cuts[-1])
+    if rest is not None:
+        yield _pair_rows(rest, [0, rest.num_rows], n, least)
+
+
+def _pair_rows(hits: pa.RecordBatch, cuts: list[int], n: int, least: float) -> pa.RecordBatch:
+    """SCHEMA of the pairs between the cuts."""
+    pos, item_pos, need = (hits.column(c).to_numpy().astype(np.int64) for c in ("pos", "item_pos", "item_tokens"))
+    rows = []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        if found := _coverage(pos[a:z], item_pos[a:z], int(need[a]), n, least):
+            rows.append((hits.column("doc_id")[a].as_py(), hits.column("item_id")[a].as_py(), *found, int(need[a]), found[1] / int(need[a])))
+    return pa.RecordBatch.from_arrays(_rows(rows), _NAMES)
 
 
 def _items(benchmark: DataFrame, n: int) -> DataFrame:
@@ -177,25 +194,51 @@ def _items(benchmark: DataFrame, n: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= 2 * n - 1)
 
 
+def _small(benchmark: DataFrame, n: int, block: int) -> Broadcast | None:
+    """The seeds of a benchmark of at most `block` characters, broadcast; None for a larger one."""
+    items = _items(benchmark, n)
+    if items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] > block:
+        return None
+    rows = items.collect()  # at most `block` characters
+    return benchmark.sparkSession.sparkContext.broadcast(Seeds([r.item_id for r in rows], [r.text for r in rows], n))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, n: int = MATCH, block: int = BLOCK) -> DataFrame:
     """SCHEMA: one row for each document row and benchmark item that it leaks."""
-    spark, items = docs.sparkSession, _items(benchmark, n)
-    if items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= block:
-        rows = items.collect()  # at most `block` characters
-        seeds = spark.sparkContext.broadcast(Seeds([r.item_id for r in rows], [r.text for r in rows], n))
-        return texts(docs).mapInArrow(lambda batches: _tiled(batches, seeds.value, least), SCHEMA) if rows else spark.createDataFrame([], SCHEMA)
+    spark, items, seeds = docs.sparkSession, _items(benchmark, n), _small(benchmark, n, block)
+    if seeds:
+        return texts(docs).mapInArrow(lambda batches: _tiled(batches, seeds.value, least), SCHEMA)
     parts = cut(items.mapInArrow(partial(_seeds_of, n=n), ITEM_SEEDS), "items")
     marks = spark.sparkContext.broadcast(bitmap(parts, "seed"))
     windows = cut(texts(docs).mapInArrow(lambda batches: _seeds_of(batches, n, marks.value), DOC_SEEDS), "windows")
-    hits = windows.join(parts, "seed").select("doc", "doc_id", "pos", "item", "item_id", "item_tokens", "item_pos")
-    enough = hits.groupBy("doc", "item").agg(F.count("*").alias("n"), F.min("item_tokens").alias("need")).where(F.col("n") * (n + 1) >= F.col("need") * least).select("doc", "item")
-    return hits.join(enough, ["doc", "item"], "left_semi").groupBy("doc", "item").applyInArrow(lambda rows: _group_tiled(rows, n, least), SCHEMA)
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text leaks no item, with their columns; a text is known by its hash, so rows without doc_id are judged like all others."""
-    key = free_name(docs, "text_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    bad = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("bad_key")).distinct()
-    bad = cut(bad, "leaks").withColumnRenamed("bad_key", free_name(keyed, "bad_key"))
-    return keyed.join(bad, keyed[key] == bad[bad.columns[0]], "left_anti").drop(key)
+    # A text leaks an item only with hits on need * least / n of the item's places, so it has one among all but so many less one of them: the places with the commonest seeds are left out
+    often = windows.groupBy("seed").agg(F.count("*").alias("often"))
+    order = W.partitionBy("item").orderBy(F.desc("often"), "item_pos")
+    asking = parts.join(often, "seed").withColumn("place", F.row_number().over(order)).where(F.col("place") > F.ceil(F.col("item_tokens") * least / n) - 1)
+    pairs = cut(windows.select("doc", "seed").join(asking.select("seed", "item"), "seed").select("doc", "item").distinct(), "pairs")
+    hits = pairs.join(parts, "item").join(windows, ["doc", "seed"]).select("doc", "item", "doc_id", "item_id", "pos", "item_pos", "item_tokens")
+    sorted_ = hits.repartition("doc", "item").sortWithinPartitions("doc", "item")
+    return sorted_.mapInArrow(lambda batches: _pairs_tiled(batches, n, least), SCHEMA)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, n: int = MATCH, block: int = BLOCK) -> DataFrame:
+    """The rows of docs whose own text leaks no item, with their columns, whatever doc_id they have.
+
+    With a small benchmark each row is judged where it is read; with a larger one the rows are numbered in a table in the shared folder."""
+    seeds = _small(benchmark, n, block)
+    if seeds:
+
+        @F.arrow_udf("boolean")
+        def clean(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for array in arrays:
+                out = np.ones(len(array), bool)
+                for found in _tiled(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(array))), array], ["doc_id", "text"])]), seeds.value, least):
+                    out[found.column(0).to_numpy()] = False
+                yield pa.array(out)
+
+        return docs.where(clean(column("text").cast("string")))
+    key = free_name(docs, "row_number")
+    numbered = cut(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    bad = leaks(numbered.select(column(key).alias("doc_id"), "text"), benchmark, least, n, block).select(F.col("doc_id").alias("bad_row")).distinct()
+    bad = cut(bad, "leaks").withColumnRenamed("bad_row", free_name(numbered, "bad_row"))
+    return numbered.join(bad, numbered[key] == bad[bad.columns[0]], "left_anti").drop(key)

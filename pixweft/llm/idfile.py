@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import textkernel as K
-from .shared import cut, shared_dir, texts
+from .shared import cut, note, shared_dir, texts
 
 VOCABULARY, END = public_tokenizers.path("word_bpe_49k.json"), 2
 LIMIT, BLOCK, CHECK, CACHE = 20, 1 << 18, 128, 1_000_000
@@ -334,4 +334,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/pixweft/idfile-{uuid.uuid4().hex}"
+    return note(spark, f"{shared_dir(spark)}/pixweft/idfile-{uuid.uuid4().hex}")

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import column, texts
+from .shared import column, judged, texts
 
 ROWS, CHARS, LONG, FOLDS, HELD_OUT, SEGMENT = 40, 40_000, 1_000, 4, 2, 512
 #: Phrases per symbol above which no language fits; prose needs about a third of that.
@@ -196,10 +197,7 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs that some language fits, with all their columns."""
+    """The rows of docs that some language fits, with all their columns, which may be of any type and name."""
     rows = docs.sparkSession.sparkContext.broadcast(tuple(sample(docs)))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(F.col("text").cast("string").alias("t"), *(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True))
-    out = plain.mapInArrow(lambda batches: _predicted(batches, rows.value), f"{kinds}, {OUT}").where(f"lang_pred <> 'und' and rate <= {MAX_RATE}")
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    fits = lambda out: pc.and_(pc.not_equal(out.column("lang_pred"), "und"), pc.less_equal(out.column("rate"), MAX_RATE)).combine_chunks()
+    return docs.where(judged(column("text"), lambda batches: _predicted(batches, rows.value), fits))

@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import column, texts
+from .shared import column, judged, texts
 
 MIN_WORDS, REPEAT_PERCENT, LEVEL, CHUNK, BAD_SHARE = 50, 50, 3, 4096, 0.34
 #: (bytes from, lowest ratio, highest ratio); between two rows the limits run linearly in log2 of the bytes.
@@ -123,9 +122,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(F.col("text").cast("string").alias("t"), *(column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True))
-    out = plain.mapInArrow(_judged, f"{kinds}, {SCHEMA}").where("kept")
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    """The rows of docs that pass, with all their columns, which may be of any type and name."""
+    return docs.where(judged(column("text"), _judged, lambda out: out.column("kept").combine_chunks()))

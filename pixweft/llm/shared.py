@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of the tables that cut() wrote, by name of the application.
+#: Folders of the tables that cut() wrote, and of file sets given to note(), by name of the application.
 _written: dict[str, list[str]] = {}
 
 
@@ -24,16 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def note(spark: SparkSession, path: str) -> str:
+    """Have clear() delete the path too."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages don't recompute it when an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/pixweft/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    df.write.parquet(note(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote in this application. Results that were not collected or written yet can't be read any more."""
+    """Delete the tables that cut() wrote in this application, and what note() named. Results that were not collected or written yet can't be read any more."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
@@ -75,6 +82,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def judged(column_: Column, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: Callable[[pa.Table], pa.Array]) -> Column:
+    """What `keep` tells from the rows that `batches` makes of the texts, one for each in their order. Only texts go to Python; the table's other columns, of whatever type, stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def verdict(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            made = list(batches(iter([pa.RecordBatch.from_arrays([array], ["text"])]))) if len(array) else []
+            yield keep(pa.Table.from_batches(made)) if made else pa.array([], pa.bool_())
+
+    return verdict(column_.cast("string"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or with underscores behind it if a column of df has it."""
     while name in {c.lower() for c in df.columns}:
