@@ -10,7 +10,8 @@ import pydoc_data.topics
 import pytest
 import zstandard
 
-from pixweft.llm import bpe, decontam, idfile, langid, lm, neardup, quality, queries, shared, textkernel, toxicity, urls
+from pixweft.llm import bpe, decontam, idfile, langid, lm, neardup, quality, queries, shared, stages, textkernel, toxicity, urls
+from pixweft.llm.components import components
 
 from . import brute
 from .tables import clashing, odd_documents, odd_rows, prose
@@ -37,6 +38,45 @@ def twins(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string")
 
 
+def test_a_document_with_several_texts(spark):
+    """Links by any text of a doc_id, in either order of rows; empty texts and rows without an id beside them."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (1, b), (3, f"{a} word"), (4, f"{b} word"), (5, c), (6, c), (6, ""), (7, ""), (7, None), (8, f"{c} word"), (2, f"{c} more"), (2, f"{b} more"), (9, prose(9, 60)), (9, prose(9, 60)), (None, c), (None, a)]
+    sets = [(i, brute.shingles(t)) for i, t in rows if i is not None]
+    links = [(i, j) for i, x in sets for j, y in sets if i < j and x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    part = brute.components(links, [i for i, _ in sets])
+    assert part == dict.fromkeys(range(1, 9), 1) | {7: 7, 9: 9}
+    want = Counter((i, len(brute.shingles(t)), part.get(i), part.get(i) == i and i is not None) for i, t in rows)
+    for order in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+        assert {r.class_id for r in got if r.doc_id == 6} == {5, 6}
+    single = stages.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter((r.doc_id, r.text) for r in single.collect()) == Counter([(1, min(a, b)), (7, None), (9, prose(9, 60)), (None, c), (None, a)])
+
+
+def test_components_of_odd_links(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(100 + k, 101 + k) for k in range(60)] + [(7, 7), (None, 3), (4, None)] + [(500, 600 + k) for k in range(50)]
+    got = components(spark.createDataFrame(pairs + pairs[:9], "a long, b long"))
+    linked = [p for p in pairs if None not in p and p[0] != p[1]]
+    assert sorted(map(tuple, got.collect())) == sorted(brute.components(linked, {x for p in linked for x in p}).items())
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_clear_deletes_what_a_session_wrote(spark):
+    import os
+
+    shared.clear(spark)
+    table = shared.cut(spark.range(3), "three")
+    path = idfile.new_path(spark)
+    idfile.write(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), path)
+    paths = [p.removeprefix("file:") for p in (table.inputFiles()[0].rsplit("/", 1)[0].replace("///", "/"), path)]
+    assert all(map(os.path.exists, paths))
+    shared.clear(spark)
+    assert not any(map(os.path.exists, paths))
+
+
 def test_twins_in_every_operator(spark, twins):
     rows, docs = twins
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs)).collect()}

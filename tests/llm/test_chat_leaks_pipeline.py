@@ -97,6 +97,7 @@ def test_op2(spark):
 
 def test_op2_runs_no_python(spark):
     plan = queries.op2_chat_formatting(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(tool" not in plan
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
@@ -152,6 +153,19 @@ def test_blocks_of_items_give_the_same(spark):
     assert sorted(decontam.leaks(docs, items, block=900).collect()) == sorted(decontam.leaks(docs, items).collect())
 
 
+def test_seeds_that_all_texts_and_items_share(spark):
+    """Four common passages in every text and item: the join leaves the commonest seeds out and loses no leak."""
+    common = [prose(900 + k, 8) for k in range(4)]
+    items = [(k, " ".join([*common[: k % 5], prose(600 + k, 12)])) for k in range(30)] + [(99, " ".join(common)), (98, common[0])]
+    docs = [(k, " ".join([prose(k, 30), *common[::-1], *([items[k % 30][1]] if k % 4 == 0 else [])])) for k in range(120)] + [(None, items[3][1])]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks_of(docs, items)
+    for block in (0, decontam.BLOCK):
+        assert Counter((r.doc_id, r.item_id, r.n_tiles, r.covered, r.item_tokens) for r in decontam.leaks(table, bench, block=block).collect()) == want
+        left = Counter((r.doc_id, r.text) for r in decontam.without_leaks(table, bench, block=block).collect())
+        assert left == Counter(d for k, d in enumerate(docs) if not leaks_of([(k, d[1])], items))
+
+
 @pytest.mark.parametrize("kind", ["odd", "sf"])
 def test_pipeline(spark, tmp_path, kind):
     path = SF
@@ -199,6 +213,20 @@ def clean(spark, docs, path):
     return Counter(r for k, r in enumerate(own) if k not in bad)
 
 
+def test_columns_of_any_type_pass_the_stages(spark, tmp_path):
+    """Structs with odd field names, maps, intervals, variants beside the texts of documents."""
+    rng = random.Random(6)
+    mixed = lambda k: " ".join(f"{w} {''.join(rng.choices('etaoinshrdlu', k=rng.randint(2, 8)))}" for w in prose(k, 60).split())
+    docs = spark.createDataFrame([(k, prose(3, 80) if k == 3 else mixed(k)) for k in range(40)], "doc_id long, text string").selectExpr("*", "'en' as lang", "named_struct('a-b', 1, 'c.d', 'x') as s", "map('k', doc_id) as m", "interval 3 days 2 hours as i", "interval 2 years as y", "make_interval(1, 2, 3) as c", "parse_json('[1, {}]') as v", "array(named_struct('`', 1)) as `odd.name`")
+    for left in (quality.keep_good(docs), langid.keep_known(docs), decontam.without_leaks(docs, spark.createDataFrame([(1, prose(3, 80))], "item_id long, text string"))):
+        assert left.columns == docs.columns and left.dtypes == docs.dtypes
+        assert 35 <= left.selectExpr("doc_id", "s.`a-b`", "m['k']", "i", "y", "to_json(v)", "cast(c as string)", "`odd.name`").count() <= 40
+    docs.drop("c").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(3, 80))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 35 <= len(out) < 40 and 3 not in {r.doc_id for r in out}
+
+
 def test_leaks_without_an_id_go(spark):
     item = prose(500, 40)
     docs = clashing(spark.createDataFrame([(None, f"{prose(1, 9)} {item}"), (None, prose(2, 50)), (1, None), (1, item), (1, prose(3, 50))], "doc_id long, text string")).withColumn("text_key", F.lit(1))
