@@ -179,13 +179,19 @@ def language(text, sample, segment):
     return best, 1 - rates[best] / (rates[best] + min(rest)) if rest else 1.0, rates[best]
 
 
-def bands(raw, press, limit, chunk, chunk_band, share):
+def bands(raw, press, limit, chunk, chunk_band, share, gains):
     """Whether the compression bands reject a text of bytes."""
     ratio = lambda x: len(press(x)) / len(x)
     outside = lambda x, band: not band[0] <= ratio(x) <= band[1]
     parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)] if len(raw) > chunk else []
     bad = sum(len(p) for p in parts if outside(p, chunk_band if len(p) == chunk else limit(len(p))))
-    return bool(raw) and (outside(raw, limit(len(raw))) or bad >= share * len(raw))
+    plain = b"".join(bytes([b]) for b in raw if chr(b) not in "#*$%&|<>")
+    below, above = max(g for g in gains if g[0] <= max(1, len(raw))), min((g for g in gains if g[0] > max(1, len(raw))), default=None)
+    highest = below[1]
+    if above:
+        highest += (above[1] - below[1]) * math.log2(max(1, len(raw)) / below[0]) / math.log2(above[0] / below[0])
+    padded = 0 < len(plain) < len(raw) and ratio(plain) - ratio(raw) > highest
+    return bool(raw) and (outside(raw, limit(len(raw))) or bad >= share * len(raw) or padded)
 
 
 def clauses(text, ends=".!?;:\n"):

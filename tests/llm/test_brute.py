@@ -190,17 +190,25 @@ def test_bands_by_plain_rules(spark, kind):
     docs = odd_documents(spark) if kind == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
     press = zstandard.ZstdCompressor(level=quality.LEVEL).compress
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want = Counter((i, failed := brute.bands((t or "").encode(), press, quality.limits, quality.CHUNK, quality.CHUNK_BAND, quality.BAD_SHARE), not failed and not brute.quality(i, t)[-1]) for i, t in rows)
+    want = Counter((i, failed := brute.bands((t or "").encode(), press, quality.limits, quality.CHUNK, quality.CHUNK_BAND, quality.BAD_SHARE, quality.GAINS), not failed and not brute.quality(i, t)[-1]) for i, t in rows)
     assert Counter((r.doc_id, r.band_failed, r.kept) for r in quality.judge(docs).collect()) == want
 
 
 def test_bands_keep_real_prose(spark):
     """Python's own manual: text with lists and tables, whole and in its long parts."""
     manual = "\n".join(pydoc_data.topics.topics.values())
-    rows = [(n, manual[:n]) for n in (20_000, 60_000, 200_000, 500_000)]
+    rows = [(n, manual[:n]) for n in (1024, 2048, 4096, 6000, 8192, 12_000, 20_000, 60_000, 200_000, 500_000)]
     assert not any(r.band_failed for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_bands_find_labelled_junk_and_keep_labelled_text(spark):
+    """Of the texts of sf0.1 that pass the base rules."""
+    sf = "/root/testdata/sf0.1"
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed")
+    got = {(r.quality, r.band_failed): r["count"] for r in judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality", "band_failed").count().collect()}
+    assert got.get((1, True), 0) == 0 and got[0, True] >= 230 and got[0, True] >= 0.8 * (got[0, True] + got.get((0, False), 0))
+
+
 def test_folder_of_a_session_without_one(tmp_path):
     class Context:
         def __init__(self, master, folder=None):
