@@ -24,6 +24,12 @@ def low8(c: Column | str) -> Column:
 
 
 def clip(c: Column | str, low: int = 0, high: int = 255) -> Column:
+    """The nearest value between the bounds; null for null."""
+    return F.when(long(c).isNotNull(), between(c, low, high))
+
+
+def between(c: Column | str, low: int, high: int) -> Column:
+    """clip() of what isn't null; a null gives the upper bound, as least() skips it."""
     return F.greatest(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), long(c)))
 
 
@@ -73,7 +79,7 @@ def select(left: Column, top: Column, top_left: Column) -> Column:
 
 def half_step(x: Column, y: Column) -> Column:
     """x plus half of x - y, halved toward zero, clipped."""
-    return clip(x + toward_zero_half(x - y))
+    return between(x + toward_zero_half(x - y), 0, 255)
 
 
 def toward_zero_half(d: Column) -> Column:
@@ -84,7 +90,7 @@ BLACK = 4278190080
 
 
 def predictors(left: Column, top: Column, top_left: Column, top_right: Column) -> list[Column]:
-    """The predictions of modes 0 to 13."""
+    """The predictions of modes 0 to 13, of pixels that aren't null."""
     return [
         F.lit(BLACK).cast("bigint"),
         left,
@@ -98,6 +104,6 @@ def predictors(left: Column, top: Column, top_left: Column, top_right: Column) -
         average(top, top_right),
         average(average(left, top_left), average(top, top_right)),
         select(left, top, top_left),
-        each(lambda a, b, c: clip(a + b - c), left, top, top_left),
+        each(lambda a, b, c: between(a + b - c, 0, 255), left, top, top_left),
         each(half_step, average(left, top), top_left),
     ]

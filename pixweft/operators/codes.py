@@ -41,8 +41,17 @@ def validity(lengths: DataFrame) -> DataFrame:
     return out.select("tree", "coded", "space", (F.col("legal") & (F.col("coded") > 0) & (F.col("space") <= 32768)).alias("valid"), (F.col("coded") == 1).alias("reads_no_bits"))
 
 
+def read_runs(runs: DataFrame, alphabet: int, max_symbol: int | None = None) -> DataFrame:
+    """The runs (tree, pos, value, repeat) that a reader of an alphabet takes: the first max_symbol ones at most, until the alphabet is full. A tree has none if a run in that range passes the alphabet's end or is null: it fails."""
+    order = W.partitionBy("tree").orderBy("pos")
+    near = runs.withColumns({"_place": F.row_number().over(order), "_before": F.coalesce(F.sum("repeat").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    near = near.where((F.col("_place") <= (alphabet if max_symbol is None else max_symbol)) & (F.col("_before") < alphabet))
+    fails = F.bool_or(F.coalesce((F.col("_before") + F.col("repeat") > alphabet) | F.col("value").isNull(), F.lit(True))).over(W.partitionBy("tree"))
+    return near.withColumn("_fails", fails).where(~F.col("_fails")).drop("_place", "_before", "_fails")
+
+
 def expand_runs(runs: DataFrame) -> DataFrame:
-    """Rows (tree, pos, value, repeat) as one row per code length: (tree, place, len). Runs of 0, less or null times give no rows."""
+    """Rows (tree, pos, value, repeat) as one row per code length: (tree, place, len). Runs of 0, less or null times give no rows. read_runs() ends them at an alphabet."""
     one = runs.where("repeat > 0").select("tree", "pos", "value", F.explode(F.expr("sequence(1L, cast(repeat as bigint))")).alias("_k"))
     return one.select("tree", (F.row_number().over(W.partitionBy("tree").orderBy("pos", "_k")).cast("bigint") - 1).alias("place"), F.col("value").alias("len"))
 

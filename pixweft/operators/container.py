@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.container import byte, little
 
+_MOST, _LEAST = 2**63 - 1, -(2**63)
 _FIRST = {"vp8l": "VP8L", "vp8": "VP8 ", "alph": "ALPH", "anmf": "ANMF"}
 
 
@@ -86,13 +87,16 @@ def probe(chunks: DataFrame) -> DataFrame:
 
 
 def needed_bytes(stride: Column, height: Column) -> Column:
-    """Bytes of an output of rows with a stride; null where the product overflows."""
-    return F.try_multiply(stride.cast("bigint"), height.cast("bigint"))
+    """Bytes of an output of rows with a stride; null where the product isn't below 2 ** 63 in size. No exception is made for such rows, however many they are."""
+    a, b = stride.cast("bigint"), height.cast("bigint")
+    fits = (a > _LEAST) & (b > _LEAST) & (F.abs(a) <= F.call_function("div", F.lit(_MOST), F.abs(b)))
+    return F.when(b == 0, a - a).when(fits, a * b)
 
 
 def least_output(stride: Column, width: Column, height: Column) -> Column:
     """Bytes that the lossy decoder asks for: the last row needs no stride."""
-    return F.try_add(needed_bytes(stride, height - 1), 4 * width)
+    rows = needed_bytes(stride, height - 1)
+    return F.when(rows <= _MOST - F.greatest(4 * width, F.lit(0)), rows + 4 * width)
 
 
 def _backend(scope: str, w: Column, h: Column) -> tuple[list[tuple[Column, str, str, str]], Column]:
@@ -106,7 +110,7 @@ def _backend(scope: str, w: Column, h: Column) -> tuple[list[tuple[Column, str,
     method = byte(F.col(f"{name('alph')}.head"), 0) % 4
     a_size = F.col(f"{name('alph')}.size")
     cases = [
-        (lossless & ~F.coalesce(byte(F.col(f"{name('vp8l')}.head"), 0) == 0x2F, F.lit(False)), "decode-backend-failed", "VP8L", "header"),
+        (lossless & ~F.coalesce((byte(F.col(f"{name('vp8l')}.head"), 0) == 0x2F) & (F.col(f"{name('vp8l')}.size") >= 5), F.lit(False)), "decode-backend-failed", "VP8L", "header"),
         (~lossless & ~F.coalesce(fits, F.lit(False)), "decode-backend-failed", "VP8 ", "vp8"),
         (~lossless & has & (a_size == 0), "ok", "----", "ok"),
         (~lossless & has & (method > 1), "alph-unsupported-mode", "ALPH", "alph-mode"),

@@ -85,9 +85,10 @@ def neighbours(pixels: DataFrame, value: str = "argb") -> DataFrame:
 
 
 def predicted(pixels: DataFrame, mode: Column) -> DataFrame:
-    """Column pred of decoded pixels (image_id, y, x, argb): black in the corner, left in row 0, above in column 0, else by mode (unknown ones: black)."""
+    """Column pred of decoded pixels (image_id, y, x, argb): black in the corner, left in row 0, above in column 0, else by mode (unknown ones: black). Null where a pixel that counts is null."""
     n = neighbours(pixels)
     choice = F.when((F.col("x") == 0) & (F.col("y") == 0), F.lit(P.BLACK).cast("bigint")).when(F.col("y") == 0, F.col("l")).when(F.col("x") == 0, F.col("t"))
+    choice = choice.when(F.col("l").isNull() | F.col("t").isNull() | F.col("tl").isNull() | F.col("tr").isNull(), F.lit(None).cast("bigint"))
     for k, p in enumerate(P.predictors(F.col("l"), F.col("t"), F.col("tl"), F.col("tr"))):
         choice = choice.when(mode == k, p)
     return n.withColumn("pred", choice.otherwise(F.lit(P.BLACK).cast("bigint")))
@@ -216,20 +217,21 @@ def cache_state(pixels: DataFrame, bits: int) -> DataFrame:
 def copied(copies: DataFrame) -> DataFrame:
     """Back-references (image_id, pos, distance, length) as rows (image_id, pos, source): an overlapping copy repeats its first `distance` pixels.
 
-    No rows for copies of length 0 or less, and none for those that readers reject: a distance below 1 or null, or a source before the start (see bad_copies).
+    No rows for copies of length 0 or less, and none for those that readers reject: a distance below 1 or null, a source before the start, or, where there is a column total, pixels behind the image's end (see bad_copies).
     """
-    good = copies.where(~_bad_copy() & (F.col("length") > 0))
+    good = copies.where(~_bad_copy(copies) & (F.col("length") > 0))
     out = good.select("image_id", P.long("pos").alias("_pos"), P.long("distance").alias("_distance"), F.explode(F.expr("sequence(0L, cast(length as bigint) - 1)")).alias("_k"))
     return out.select("image_id", (F.col("_pos") + F.col("_k")).alias("pos"), (F.col("_pos") - F.col("_distance") + F.col("_k") % F.col("_distance")).alias("source"))
 
 
-def _bad_copy() -> Column:
-    return F.coalesce((F.col("distance") < 1) | (F.col("distance") > F.col("pos")), F.lit(True))
+def _bad_copy(copies: DataFrame) -> Column:
+    past = F.col("pos") + F.col("length") > F.col("total") if "total" in copies.columns else F.lit(False)
+    return F.coalesce((F.col("distance") < 1) | (F.col("distance") > F.col("pos")) | past, F.lit(True))
 
 
 def bad_copies(copies: DataFrame) -> DataFrame:
     """The back-references at which a reader fails."""
-    return copies.where(_bad_copy())
+    return copies.where(_bad_copy(copies))
 
 
 def undo_transforms(pixels: DataFrame, transforms: list[tuple]) -> DataFrame:

@@ -22,21 +22,27 @@ def segment_quantizer(base: Column | str, segment: Column | str, absolute: Colum
 
 
 def quantizers(frames: DataFrame) -> DataFrame:
-    """Columns y1_dc, y1_ac, y2_dc, y2_ac, uv_dc, uv_ac of rows with q and a column <name>_delta for each of DELTAS."""
-    table = F.broadcast(steps(frames.sparkSession))
-    out = frames
-    for name, delta, kind in (("y1_dc", "y1_dc_delta", "dc"), ("y1_ac", None, "ac"), ("y2_dc", "y2_dc_delta", "dc"), ("y2_ac", "y2_ac_delta", "ac"), ("uv_dc", "uv_dc_delta", "dc"), ("uv_ac", "uv_ac_delta", "ac")):
-        at = P.clip(P.long("q") + (P.long(delta) if delta else 0), 0, 127)
-        out = out.withColumn("_at", at).join(table.select(F.col("q").alias("_at"), F.col(kind).alias(name)), "_at").drop("_at")
-    y2 = F.greatest(F.expr("y2_ac * 155 div 100"), F.lit(8).cast("bigint"))
-    return out.withColumns({"y2_dc": P.long("y2_dc") * 2, "y2_ac": y2, "uv_dc": F.least("uv_dc", F.lit(132).cast("bigint"))})
+    """Columns y1_dc, y1_ac, y2_dc, y2_ac, uv_dc, uv_ac of rows with q and a column <name>_delta for each of DELTAS. They replace columns of these names; a null q or delta gives null steps."""
+
+    def step(kind: list[int], delta: str | None) -> Column:
+        return F.get(F.array(*(F.lit(v).cast("bigint") for v in kind)), P.clip(P.long("q") + (P.long(delta) if delta else 0), 0, 127).cast("int"))
+
+    dc = {n: step(tables.DC_STEPS, f"{n}_delta") for n in ("y1_dc", "y2_dc", "uv_dc")}
+    y1_ac, y2_ac, uv_ac = step(tables.AC_STEPS, None), step(tables.AC_STEPS, "y2_ac_delta"), step(tables.AC_STEPS, "uv_ac_delta")
+    y2 = F.expr("_y2 * 155 div 100")
+    out = frames.withColumns({"_y2": y2_ac, "_uv": dc["uv_dc"]})
+    return out.withColumns({"y1_dc": dc["y1_dc"], "y1_ac": y1_ac, "y2_dc": dc["y2_dc"] * 2, "y2_ac": F.when(y2 < 8, F.lit(8).cast("bigint")).otherwise(y2), "uv_dc": F.when(F.col("_uv") > 132, F.lit(132).cast("bigint")).otherwise(F.col("_uv")), "uv_ac": uv_ac}).drop("_y2", "_uv")
 
 
 def dequantize(coefficients: DataFrame, quant: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by..., n, level) with the n-th level times the DC or AC step, as a 16-bit number, at its place in the block."""
-    place = F.element_at(F.array(*(F.lit(z).cast("bigint") for z in tables.ZIGZAG)), (F.col("n") + 1).cast("int"))
-    product = P.long("level") * F.when(F.col("n") == 0, F.col("dc")).otherwise(F.col("ac"))
-    return coefficients.join(quant, by).withColumns({"place": place, "value": F.pmod(product + 32768, F.lit(65536)) - 32768})
+    """Rows (by..., n, level) with the n-th level times the DC or AC step, as a 16-bit number, at its place in the block. Quantizers (by..., dc, ac) have one row for each key.
+
+    Every row stays: an n outside 0 to 15 has a null place, a row without quantizer or with a null n or level a null value. place and value replace columns of these names; the rows' own dc and ac stay.
+    """
+    place = F.get(F.array(*(F.lit(z).cast("bigint") for z in tables.ZIGZAG)), F.col("n").cast("int"))
+    product = P.long("level") * F.when(F.col("n") == 0, F.col("_dc")).when(F.col("n").isNotNull(), F.col("_ac"))
+    steps_ = quant.select(*by, F.col("dc").alias("_dc"), F.col("ac").alias("_ac"))
+    return coefficients.join(steps_, by, "left").withColumns({"place": place, "value": F.pmod(product + 32768, F.lit(65536)) - 32768}).drop("_dc", "_ac")
 
 
 def _grid(name: str) -> list[list[Column]]:
@@ -218,7 +224,7 @@ def high_variance(threshold: Column | str) -> Column:
 
 
 def _s8(v: Column) -> Column:
-    return P.clip(v, -128, 127)
+    return P.between(v, -128, 127)  # a null tap fails the edge's condition, so nothing of this counts
 
 
 def _signed(name: str) -> Column:
@@ -299,9 +305,9 @@ def filter_edges(df: DataFrame) -> DataFrame:
 
 
 def yuv_to_bgra(luma: DataFrame, chroma: DataFrame) -> DataFrame:
-    """(image_id, y, x, b, g, r, a): samples luma (image_id, y, x, luma) joined with chroma (image_id, y, x, cb, cr) of half the size."""
+    """(image_id, y, x, b, g, r, a): samples luma (image_id, y, x, luma) joined with chroma (image_id, y, x, cb, cr) of half the size. Luma without chroma, or null, has null colours; other columns of luma don't count."""
     half = chroma.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "cb", "cr")
-    joined = luma.withColumns({"_y": P.shift("y", 1), "_x": P.shift("x", 1)}).join(half, ["image_id", "_y", "_x"])
+    joined = luma.select("image_id", "y", "x", "luma", P.shift("y", 1).alias("_y"), P.shift("x", 1).alias("_x")).join(half, ["image_id", "_y", "_x"], "left")
     base, u, v = 298 * (P.long("luma") - 16), P.long("cb") - 128, P.long("cr") - 128
     sample = lambda c: P.clip(P.shift(c + 128, 8))
     return joined.select("image_id", "y", "x", sample(base + 516 * u).alias("b"), sample(base - 100 * u - 208 * v).alias("g"), sample(base + 409 * v).alias("r"), F.lit(255).cast("bigint").alias("a"))

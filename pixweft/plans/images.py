@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .planes import table
 
-KINDS = 26
+KINDS = 30
 
 
 class Hex(NamedTuple):
@@ -92,6 +92,10 @@ _CASES = [
     vp8x(8, 8) + chunk("VP8 ", vp8(9, 8)),
     chunk("VP8 ", vp8(8, 8, "110000")),
     chunk("VP8 ", Hex("substr(plane, 1, 18)", 9)),
+    vp8x(8, 8) + chunk("VP8L", raw("")),
+    vp8x(8, 8) + chunk("VP8L", raw("2F")),
+    vp8x(8, 8) + chunk("VP8L", raw("2F07C001")),
+    vp8x(40, 30) + anmf(1, 1, chunk("VP8L", raw("2F07C00100"))),
 ]
 assert len(_CASES) == KINDS
 _BODY = f"case image_id % {KINDS} " + " ".join(f"when {k} then {c.sql}" for k, c in enumerate(_CASES)) + " end"

@@ -52,7 +52,7 @@ def cross_color(spark, sf):
     return lossless.cross_color(colours(spark, sf), blocks, 2).select("image_id", "y", "x", "r", "g", "b")
 
 
-@query(f"with {PX}, k as (select image_id, y >> 2 as by_, x >> 2 as bx, v as grp from px where y % 4 = 0 and x % 4 = 0) select px.image_id, y, x, case when grp < 200 then grp else 0 end as code_group from px join k on px.image_id = k.image_id and y >> 2 = by_ and x >> 2 = bx")
+@query(f"with {PX}, k as (select image_id, y, x, max(case when y % 4 = 0 and x % 4 = 0 then v end) over (partition by image_id, y >> 2, x >> 2) as grp from px) select image_id, y, x, case when grp < 200 then grp else 0 end as code_group from k")
 def meta_group_select(spark, sf):
     blocks = px(spark, sf).where("y % 4 = 0 and x % 4 = 0").selectExpr("image_id", "y div 4 as by", "x div 4 as bx", "v * 256 as meta")
     return lossless.group_select(px(spark, sf), blocks, 2, 200).select("image_id", "y", "x", "code_group")
@@ -207,7 +207,7 @@ def dc_predict(spark, sf):
     return lossy.dc_prediction(p.where("y = 0 or x = 0"), p.where("y = 0 and x = 0").select("image_id"), ["image_id"])
 
 
-@query(f"with {PX} select p.image_id, p.y, p.x, {clip('l.v + t.v - k.v')} as v from px p join px l on l.image_id = p.image_id and l.y = p.y and l.x = 0 join px t on t.image_id = p.image_id and t.y = 0 and t.x = p.x join px k on k.image_id = p.image_id and k.y = 0 and k.x = 0 where p.y > 0 and p.x > 0")
+@query(f"with {PX}, n as (select image_id, y, x, first_value(v) over (partition by image_id, y order by x) as l, first_value(v) over (partition by image_id, x order by y) as t, first_value(v) over (partition by image_id order by y, x) as k from px) select image_id, y, x, {clip('l + t - k')} as v from n where y > 0 and x > 0")
 def true_motion(spark, sf):
     p = px(spark, sf)
     left = p.where("x = 0").select("image_id", "y", F.col("v").alias("l"))
@@ -275,7 +275,7 @@ def edge_macroblock(spark, sf):
     return lossy.macroblock_edge(_taps(spark, sf)).select("image_id", "y", *lossy.TAPS)
 
 
-@query(f"with {PX}, uv as (select image_id, y, x, v - 128 as u, v * 3 % 256 - 128 as w from px where y < 4 and x < 4) select p.image_id, p.y, p.x, {clip('(298 * (v - 16) + 516 * u + 128) >> 8')} as b, {clip('(298 * (v - 16) - 100 * u - 208 * w + 128) >> 8')} as g, {clip('(298 * (v - 16) + 409 * w + 128) >> 8')} as r, 255::bigint as a from px p join uv on p.image_id = uv.image_id and p.y >> 1 = uv.y and p.x >> 1 = uv.x")
+@query(f"with {PX}, s as (select image_id, y, x, v, list(v) over (partition by image_id order by y, x rows between unbounded preceding and unbounded following) as plane from px), uv as (select image_id, y, x, v, plane[((y >> 1) * 8 + (x >> 1) + 1)::int] as c from s), k as (select image_id, y, x, 298 * (v - 16) as base, c - 128 as u, c * 3 % 256 - 128 as w from uv) select image_id, y, x, {clip('(base + 516 * u + 128) >> 8')} as b, {clip('(base - 100 * u - 208 * w + 128) >> 8')} as g, {clip('(base + 409 * w + 128) >> 8')} as r, 255::bigint as a from k")
 def yuv_to_bgra(spark, sf):
     p = px(spark, sf)
     return lossy.yuv_to_bgra(p.withColumnRenamed("v", "luma"), p.where("y < 4 and x < 4").selectExpr("image_id", "y", "x", "v as cb", "v * 3 % 256 as cr"))

@@ -81,7 +81,7 @@ def _after(scope: str, w: str, h: str) -> str:
     at, size = f"{scope}vp8", f"{scope}vp8_size"
     fits = f"coalesce({_u('h', at, 1)} % 2 = 0 and greatest({own_w}, {own_h}) <= 4096 and ({own_w}) = {w} and ({own_h}) = {h} and 10 + ({_u('h', at, 3)} >> 5) <= {size}, false)"
     first = _u("h", f"{scope}alph", 1)
-    return f"case when {scope}vp8l is not null then case when {_u('h', f'{scope}vp8l', 1)} = 47 then 0 else 1 end when not {fits} then 2 when {scope}alph is null then 0 when {scope}alph_size = 0 then 3 when {first} % 4 > 1 then 4 when {first} % 4 = 0 and {scope}alph_size < 1 + {w} * {h} then 5 else 0 end"
+    return f"case when {scope}vp8l is not null then case when {scope}vp8l_size >= 5 and {_u('h', f'{scope}vp8l', 1)} = 47 then 0 else 1 end when not {fits} then 2 when {scope}alph is null then 0 when {scope}alph_size = 0 then 3 when {first} % 4 > 1 then 4 when {first} % 4 = 0 and {scope}alph_size < 1 + {w} * {h} then 5 else 0 end"
 
 
 _STRIDE, _ROOM = "case image_id % 7 when 0 then 0 when 1 then coalesce(4 * width, 4) - 1 else coalesce(4 * width, 4) + 3 end", "coalesce(height, 1)"

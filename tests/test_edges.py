@@ -192,3 +192,41 @@ def test_empty_tables(spark, tmp_path):
             assert query(spark, str(tmp_path)).isEmpty(), name
     finally:
         spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
+def test_nulls_stay_null(spark):
+    """Null samples, indexes and levels give null results, never a bound."""
+    null = lambda value, **c: spark.createDataFrame([tuple(c.values())], ", ".join(f"{k} bigint" for k in c)).select(value.alias("v")).first().v
+    assert null(P.clip("c"), c=None) is None and null(P.clip("c"), c=999) == 255
+    assert null(lossy.dc_only("d", "p"), d=4, p=None) is None and null(lossy.dc_only("d", "p"), d=None, p=4) is None
+    assert null(lossy.true_motion("l", "t", "k"), l=1, t=None, k=3) is None
+    assert null(lossy.segment_quantizer("b", "s", F.lit(False)), b=None, s=3) is None
+    deltas = {f"{c}_delta": 0 for c in lossy.DELTAS}
+    got = lossy.quantizers(spark.createDataFrame([(1, None, *deltas.values(), 77), (2, 0, *deltas.values(), 78)], f"image_id long, q long, {', '.join(f'{d} long' for d in deltas)}, y2_dc long")).orderBy("image_id").collect()
+    assert [got[0][c] for c in ("y1_dc", "y1_ac", "y2_dc", "y2_ac", "uv_dc", "uv_ac")] == [None] * 6 and (got[1].y2_dc, got[1].uv_ac) == (8, 4)
+    luma = spark.createDataFrame([(1, 0, 0, None, 5), (1, 0, 1, 16, 5), (1, 4, 4, 16, 5)], "image_id long, y long, x long, luma long, cb long")
+    chroma = spark.createDataFrame([(1, 0, 0, 128, 128)], "image_id long, y long, x long, cb long, cr long")
+    assert sorted((r.y, r.x, str(r.b), str(r.g), r.a) for r in lossy.yuv_to_bgra(luma, chroma).collect()) == [(0, 0, "None", "None", 255), (0, 1, "0", "0", 255), (4, 4, "None", "None", 255)]
+    levels = spark.createDataFrame([(1, 0, 3, 9), (1, 16, 3, 9), (1, 1, None, 9), (1, None, 3, 9), (None, 0, 3, 9), (500, 0, 3, 9)], "q long, n long, level long, dc long")
+    got = {(r.q, r.n, r.level): (r.place, r.value, r.dc) for r in lossy.dequantize(levels, lossy.steps(spark), ["q"]).collect()}
+    assert got == {(1, 0, 3): (0, 15, 9), (1, 16, 3): (None, 15, 9), (1, 1, None): (1, None, 9), (1, None, 3): (None, None, 9), (None, 0, 3): (0, None, 9), (500, 0, 3): (0, None, 9)}
+    taps = lossy.macroblock_edge(spark.createDataFrame([(None, *range(100, 107), 4, 20, 60)], ", ".join(f"{t} long" for t in lossy.TAPS) + ", hev long, interior long, edge long")).first()
+    assert [taps[t] for t in lossy.TAPS] == [None, *range(100, 107)]
+
+
+def test_runs_end_with_the_alphabet(spark):
+    runs = [(1, 0, 5, 1), (1, 1, 0, 138), (1, 2, 0, 138), (1, 3, 0, 138), (2, 0, 7, 3), (2, 1, 0, 7), (2, 2, 9, 9), (3, 0, None, None), (4, 0, 4, 6), (4, 1, 4, 4)]
+    read = lambda *a: {(r.tree, r.pos) for r in codes.read_runs(spark.createDataFrame(runs, "tree long, pos long, value long, repeat long"), *a).collect()}
+    assert read(280) == {(2, 0), (2, 1), (2, 2), (4, 0), (4, 1)}
+    assert read(10) == {(2, 0), (2, 1), (4, 0), (4, 1)}  # full before tree 2's third run
+    assert read(280, 2) == {(1, 0), (1, 1), (2, 0), (2, 1), (4, 0), (4, 1)} and read(9) == set()
+    copies = spark.createDataFrame([(1, 5, 2, 3, 8), (1, 5, 2, 4, 8)], "image_id long, pos long, distance long, length long, total long")
+    assert lossless.copied(copies).count() == 3 and lossless.bad_copies(copies).count() == 1
+
+
+def test_outputs_of_any_size(spark):
+    top = 2**63 - 1
+    rows = [(5, 4, 3), (0, top, 1), (top, 0, 1), (top, 1, 0), (top, 2, 1), (2**32, 2**31, 1), (2**32, 2**31 - 1, 1), (-3, 2, 1), (-top - 1, 2, 1), (None, 2, 1)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, stride long, height long, width long")
+    got = {r.k: r.n for r in df.select("k", container.needed_bytes(F.col("stride"), F.col("height")).alias("n")).collect()}
+    assert got == {k: (h * s if s is not None and -(2**63) < s and abs(h * s) < 2**63 else None) for k, (s, h, _) in enumerate(rows)}
