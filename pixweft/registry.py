@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import registry_blocks, registry_files  # noqa: F401  (they register queries)
+from . import registry_blocks, registry_files, registry_streams  # noqa: F401  (they register queries)
 from .catalog import ORACLE, QUERIES, clip, query, s8  # noqa: F401
 from .functions import pixels as P
 from .functions import tables

@@ -1,8 +1,11 @@
-"""Sessions for tests and benches; on a cluster the caller brings its own."""
+"""Sessions for tests and benches, where on a cluster the caller brings its own; tables between rounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "pixweft") -> SparkSession:
@@ -17,3 +20,21 @@ def local_session(cpus: int = 8, app: str = "pixweft") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the folder given to SparkContext.setCheckpointDir. Only a local session without either gets a new folder of its own; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pixweft-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what rounds build on isn't computed again, nor lost with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/pixweft/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
