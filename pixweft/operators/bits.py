@@ -45,10 +45,17 @@ def eos(n: Column | int, left: str = "left") -> Column:
     return (F.lit(n) if isinstance(n, int) else n) > F.col(left)
 
 
+def let(bindings: dict[str, str], body: str) -> str:
+    """SQL: body with names for values, each of which may use those before it and is computed once. (The greatest element of one: taking the first would be simplified to the body with the values in place of the names.)"""
+    for name, value in reversed(bindings.items()):
+        body = f"array_max(transform(array({value}), {name} -> {body}))"
+    return body
+
+
 def turned(v: str, n: int) -> str:
     """SQL: the lowest n bits (up to 15) in reverse order."""
     bit = lambda k: f"shiftleft(shiftright(u, {k}) & 1, {n - 1 - k})"
-    return f"transform(array({v}), u -> {' | '.join(bit(k) for k in range(n))})[0]"
+    return let({"u": v}, " | ".join(bit(k) for k in range(n)))
 
 
 def bounds(entries: str, top: int) -> str:
@@ -61,7 +68,7 @@ def bounds(entries: str, top: int) -> str:
     base = before(f"shiftleft(1, {top} - j)")
     inner = f"struct(c as counts, {base} as base, {before('1')} as first)"
     return (
-        f"transform(array({counts}), c -> {inner})[0]",
+        let({"c": counts}, inner),
         f"named_struct('base', _t.base, 'first', _t.first, 'lim', transform(sequence(0, {top}), k -> if(k = 0, 0, _t.base[k] + _t.counts[k] * shiftleft(1, {top} - k))), 'symbols', transform({entries}, e -> e.symbol))",
     )
 
@@ -81,7 +88,7 @@ def lookup(code: str, v: str, top: int = LONGEST) -> str:
     """
     length = f"(1 + size(filter(slice({code}.lim, 2, {top}), x -> x <= {v})))"
     none = f"if(shiftleft(shiftright({v}, {top - ROOT}), {top - ROOT}) < {code}.lim[{top}], {ROOT}, 0)" if top > ROOT else "0"
-    found = f"transform(array({length}), k -> struct({code}.symbols[{code}.first[k] + shiftright({v} - {code}.base[k], {top} - k)] as symbol, k as len))[0]"
+    found = let({"k": length}, f"struct({code}.symbols[{code}.first[k] + shiftright({v} - {code}.base[k], {top} - k)] as symbol, k as len)")
     return f"case when size({code}.symbols) = 1 then struct({code}.symbols[0] as symbol, 0 as len) when {v} >= {code}.lim[{top}] then struct(0 as symbol, {none} as len) else {found} end"
 
 

@@ -51,12 +51,12 @@ def undo_gradient(residual: np.ndarray) -> np.ndarray:
 
 def _gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes: dict[tuple[int, int], list[dict]] = {}
-        for r in batch.to_pylist():
-            sizes.setdefault((r["height"], r["width"]), []).append(r)
-        for (h, w), own in sizes.items():
-            done = undo_gradient(np.array([r["v"] for r in own], np.int64).reshape(len(own), h, w))
-            yield pa.RecordBatch.from_pylist([{"image_id": r["image_id"], "width": w, "height": h, "v": p.ravel().tolist()} for r, p in zip(own, done, strict=True)], pa.schema([("image_id", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("v", pa.list_(pa.int64()))]))
+        size = np.stack([batch.column(c).to_numpy() for c in ("height", "width")], axis=1)
+        for h, w in np.unique(size, axis=0).tolist():
+            rows = pa.array(np.flatnonzero((size == (h, w)).all(axis=1)))
+            done = undo_gradient(batch.column("v").take(rows).flatten().to_numpy().reshape(len(rows), h, w))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (h * w)), pa.array(done.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(rows), pa.array(np.full(len(rows), w)), pa.array(np.full(len(rows), h)), lists], ["image_id", "width", "height", "v"])
 
 
 def unfilter_gradient(planes: DataFrame) -> DataFrame:

@@ -147,27 +147,30 @@ def undo_predictor(residual: np.ndarray, modes: np.ndarray, bits: int) -> np.nda
     return out
 
 
-def _undone(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _flat(lists: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """The values of some rows of a list column, one after the other, without Python numbers."""
+    return lists.take(pa.array(rows)).flatten().to_numpy()
+
+
+def _undone(batches: Iterator[pa.RecordBatch], bits: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.to_pylist()
-        sizes: dict[tuple[int, int], list[dict]] = {}
-        for r in rows:
-            sizes.setdefault((r["height"], r["width"]), []).append(r)
-        for (h, w), own in sizes.items():
-            flat = np.array([r["argb"] for r in own], np.int64).reshape(len(own), h, w)
+        size = np.stack([batch.column(c).to_numpy() for c in ("height", "width")] + [np.full(batch.num_rows, bits) if bits is not None else batch.column("bits").to_numpy()], axis=1)
+        for h, w, k in np.unique(size, axis=0).tolist():
+            rows = np.flatnonzero((size == (h, w, k)).all(axis=1))
+            flat = _flat(batch.column("argb"), rows).reshape(len(rows), h, w)
             planes = np.stack([flat >> s & 255 for s in (24, 16, 8, 0)], axis=-1)
-            modes = np.array([r["modes"] for r in own], np.int64).reshape(len(own), (h + (1 << bits) - 1) >> bits, (w + (1 << bits) - 1) >> bits)
-            done = undo_predictor(planes, modes, bits)
-            packed = (done << np.array([24, 16, 8, 0])).sum(-1).reshape(len(own), -1)
-            yield pa.RecordBatch.from_pylist([{"image_id": r["image_id"], "width": w, "height": h, "argb": p.tolist()} for r, p in zip(own, packed, strict=True)], pa.schema([("image_id", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("argb", pa.list_(pa.int64()))]))
+            modes = _flat(batch.column("modes"), rows).reshape(len(rows), (h + (1 << k) - 1) >> k, (w + (1 << k) - 1) >> k)
+            packed = (undo_predictor(planes, modes, k) << np.array([24, 16, 8, 0])).sum(-1).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (h * w)), pa.array(packed))
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(rows)), pa.array(np.full(len(rows), w)), pa.array(np.full(len(rows), h)), lists], ["image_id", "width", "height", "argb"])
 
 
 PLANES = "image_id bigint, width bigint, height bigint, argb array<bigint>"
 
 
-def inverse_predictor(planes: DataFrame, bits: int) -> DataFrame:
-    """PLANES of rows with PLANES and `modes`, the block modes in row order. One image is one unit of work."""
-    return planes.select("image_id", "width", "height", "argb", "modes").mapInArrow(lambda b: _undone(b, bits), PLANES)
+def inverse_predictor(planes: DataFrame, bits: int | None) -> DataFrame:
+    """PLANES of rows with PLANES and `modes`, the block modes in row order; without bits, each image's own are in its column bits. One image is one unit of work."""
+    return planes.select("image_id", "width", "height", "argb", "modes", *(["bits"] if bits is None else [])).mapInArrow(lambda b: _undone(b, bits), PLANES)
 
 
 def group_select(pixels: DataFrame, blocks: DataFrame, bits: int, groups: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A coded image is a row (image_id, data, at, width, height): at is the bit of data where its cache flag stands. Streams are split at fixed places and read speculatively:
 
-* read_header() reads the cache flag and the five codes by expressions; each code's lengths are a fold over at most as many steps as its alphabet has symbols.
+* read_header() reads the cache flag and the five codes by one expression for each image; a code's lengths are a fold over at most as many steps as its alphabet has symbols.
 * units(): every bit offset of a piece might begin a unit (a literal, a copy or a cache reference). For each offset the unit and its end are looked up side by side, whatever piece it lies in, and by pointer doubling
   each of the first ENTRY offsets of a piece is followed to where it leaves it. These exits, a short array for each piece, are composed along each image in log rounds over pieces, which tells the offset
   at which each piece is really entered; from there pointer doubling marks its real units. No task reads a stream from its start to its end.
@@ -38,66 +38,83 @@ def _bit(at: str, n: str) -> str:
     return f"if(({at}) + ({n}) > room, 0, shiftright({byte(0)} + {byte(1)} + {byte(2)}, ({at}) & 7) & (shiftleft(1, {n}) - 1))"
 
 
-def _fold(alphabet: str) -> str:
-    """SQL: the runs of code lengths, symbol by symbol, from the code `_lc` of lengths; see read_code()."""
-    v = bits.turned(f"cast({_bit('s.at', 'least(7, greatest(0, room - s.at))')} as int)", 7)
-    found = bits.lookup("_lc", "v", 7)
-    unread = "size(_lc.symbols) > 1 and (x.len = 0 or x.len > room - s.at)"
-    extra = f"case x.symbol when 16 then 3 + {_bit('s.at + x.len', '2')} when 17 then 3 + {_bit('s.at + x.len', '3')} when 18 then 11 + {_bit('s.at + x.len', '7')} else 1 end"
-    width = "case x.symbol when 16 then 2 when 17 then 3 when 18 then 7 else 0 end"
-    fill = "case when x.symbol < 16 then x.symbol when x.symbol = 16 then s.prev else 0 end"
+def _lengths() -> str:
+    """SQL: the runs of code lengths, symbol by symbol, from the bounds lc of the code of lengths at bit r: struct (at, place, prev, bad, runs)."""
+    unread = "size(lc.symbols) > 1 and (x.len = 0 or x.len > room - s.at)"
     new = (
         f"if({unread}, named_struct('at', s.at, 'place', s.place, 'prev', s.prev, 'bad', 'huffman-code-length-symbol', 'runs', s.runs), "
-        f"named_struct('at', s.at + x.len + if(s.at + x.len + {width} > room, 0, {width}), 'place', s.place + n, 'prev', if(x.symbol between 1 and 15, x.symbol, s.prev), "
-        f"'bad', if(s.place + n > {alphabet}, 'huffman-repeat-range', cast(null as string)), 'runs', if({fill} > 0, array_append(s.runs, struct(s.place as place, n as n, {fill} as len)), s.runs)))"
+        "named_struct('at', e + if(e + w > room, 0, w), 'place', s.place + n, 'prev', if(x.symbol between 1 and 15, x.symbol, s.prev), 'bad', if(s.place + n > size, 'huffman-repeat-range', cast(null as string)), "
+        "'runs', if(fill > 0, array_append(s.runs, struct(s.place as place, n as n, fill as len)), s.runs)))"
     )
-    step = f"transform(array({v}), v -> transform(array({found}), x -> transform(array({extra}), n -> {new})[0])[0])[0]"
-    start = "named_struct('at', _r, 'place', 0, 'prev', 8, 'bad', cast(null as string), 'runs', cast(array() as array<struct<place: int, n: int, len: int>>))"
-    return f"aggregate(sequence(1, least(_max, {alphabet})), {start}, (s, k) -> if(s.place < {alphabet} and s.bad is null, {step}, s))"
+    step = bits.let(
+        {
+            "v": bits.turned(f"cast({_bit('s.at', 'least(7, greatest(0, room - s.at))')} as int)", 7),
+            "x": bits.lookup("lc", "v", 7),
+            "e": "s.at + x.len",
+            "w": "case x.symbol when 16 then 2 when 17 then 3 when 18 then 7 else 0 end",
+            "n": f"case when x.symbol < 16 then 1 when x.symbol < 18 then 3 + {_bit('e', 'w')} else 11 + {_bit('e', 'w')} end",
+            "fill": "case when x.symbol < 16 then x.symbol when x.symbol = 16 then s.prev else 0 end",
+        },
+        new,
+    )
+    start = "named_struct('at', r, 'place', 0, 'prev', 8, 'bad', cast(null as string), 'runs', cast(array() as array<struct<place: int, n: int, len: int>>))"
+    return f"aggregate(sequence(1, least(most, size)), {start}, (s, k) -> if(s.place < size and s.bad is null, {step}, s))"
+
 
+_ENTRIES = "array<struct<len: int, symbol: int>>"
 
-def read_code(headers: DataFrame, name: str, alphabet: str) -> DataFrame:
-    """Reads one prefix code of an alphabet (an SQL expression of its size) at bit `p` of `region`: column `name` has its entries (len, symbol) in order, `<name>_code` its bounds; p moves behind it; stage tells why it failed.
+
+def _code() -> str:
+    """SQL: one prefix code of an alphabet of `size` symbols read at bit h.p of `region`: struct (p, stage, codes), codes with its entries (len, symbol) behind those of h.
 
     A simple code has one or two symbols. A normal one has a code of lengths, then lengths and runs of them until the alphabet is full or max_symbol symbols are read; a run past the alphabet fails it, as do
     over-full codes and codes without symbols.
     """
-    out = headers.withColumn("p", F.expr("if(stage is null, p, 0)"))
-    out = out.withColumns({"_simple": F.expr(f"{_bit('p', '1')} = 1"), "_two": F.expr(_bit("p + 1", "1")), "_fb": F.expr(f"if({_bit('p + 2', '1')} = 1, 8, 1)")})
-    out = out.withColumns({"_s0": F.expr(_bit("p + 3", "_fb")), "_s1": F.expr(f"if(_two = 1, {_bit('p + 3 + _fb', '8')}, -1)"), "_n": F.expr(f"{_bit('p + 1', '4')} + 4")})
     places = f"array({', '.join(str(LENGTH_ORDER.index(s)) for s in range(19))})"
-    lengths = f"transform(sequence(0, 18), s -> transform(array(get({places}, s)), k -> if(k < _n, {_bit('p + 5 + 3 * k', '3')}, 0))[0])"
-    coded = f"array_sort(filter(transform({lengths}, (l, s) -> struct(l as len, s as symbol)), e -> e.len > 0))"
-    out = out.withColumns({"_le": F.expr(f"if(_simple, cast(null as array<struct<len: int, symbol: int>>), {coded})"), "_q": F.expr("p + 5 + 3 * least(_n, 19)")})
-    out = bits.with_bounds(out, "_le", "_lc", 7)
-    out = out.withColumn("_flag", F.expr(_bit("_q", "1"))).withColumn("_nb", F.expr(f"if(_flag = 1, 2 + 2 * {_bit('_q + 1', '3')}, 0)"))
-    out = out.withColumns({"_max": F.expr(f"if(_flag = 1, 2 + {_bit('_q + 4', '_nb')}, {alphabet})"), "_r": F.expr("if(_flag = 1, _q + 4 + _nb, _q + 1)")})
-    out = out.withColumn("_f", F.expr(f"if(_simple or stage is not null or _lc is null or _max > {alphabet}, null, {_fold(alphabet)})"))
-    runs = "array_sort(flatten(transform(_f.runs, r -> transform(sequence(r.place, r.place + r.n - 1), s -> struct(r.len as len, s as symbol)))))"
-    both = "array_distinct(array_sort(if(_two = 1, array(struct(1 as len, _s0 as symbol), struct(1 as len, _s1 as symbol)), array(struct(1 as len, _s0 as symbol)))))"
-    bad = f"""case when stage is not null then stage when _simple and _s0 >= {alphabet} then 'huffman-simple-first-symbol' when _simple and _s1 >= {alphabet} then 'huffman-simple-second-symbol'
-        when not _simple and _lc is null then if(size(_le) = 0, 'huff-build-all-zero', 'huff-build-overfull') when not _simple and _max > {alphabet} then 'huffman-max-symbol-range' when not _simple then _f.bad end"""
-    out = out.withColumn("stage", F.expr(bad))
-    out = out.withColumn(name, F.expr(f"if(stage is not null, null, if(_simple, {both}, {runs}))"))
-    out = bits.with_bounds(out, name, f"{name}_code")
-    out = out.withColumn("stage", F.expr(f"case when stage is not null then stage when size({name}) = 0 then 'huff-build-all-zero' when {name}_code is null then 'huff-build-overfull' end"))
-    out = out.withColumn("p", F.expr("if(_simple, p + 3 + _fb + 8 * _two, coalesce(_f.at, p))"))
-    return out.drop("_simple", "_two", "_fb", "_s0", "_s1", "_n", "_le", "_q", "_lc", "_flag", "_nb", "_max", "_r", "_f")
+    coded = f"sort_array(filter(transform(sequence(0, 18), s -> struct(if(get({places}, s) < many, {_bit(f'p + 5 + 3 * get({places}, s)', '3')}, 0) as len, s as symbol)), e -> e.len > 0))"
+    first, second = bits.bounds("le", 7)
+    return bits.let(
+        {
+            "p": "h.p",
+            "simple": f"{_bit('p', '1')} = 1",
+            "two": _bit("p + 1", "1"),
+            "fb": f"if({_bit('p + 2', '1')} = 1, 8, 1)",
+            "s0": _bit("p + 3", "fb"),
+            "s1": f"if(two = 1, {_bit('p + 3 + fb', '8')}, -1)",
+            "many": f"{_bit('p + 1', '4')} + 4",
+            "le": f"if(simple, cast(array() as {_ENTRIES}), {coded})",
+            "_t": first,
+            "lc": second,
+            "good": "size(le) > 0 and (size(le) = 1 or lc.lim[7] <= 128)",
+            "q": "p + 5 + 3 * least(many, 19)",
+            "flag": _bit("q", "1"),
+            "nb": f"if(flag = 1, 2 + 2 * {_bit('q + 1', '3')}, 0)",
+            "most": f"if(flag = 1, 2 + {_bit('q + 4', 'nb')}, size)",
+            "r": "if(flag = 1, q + 4 + nb, q + 1)",
+            "f": f"if(simple or not good or most > size, null, {_lengths()})",
+            "why": "case when simple and s0 >= size then 'huffman-simple-first-symbol' when simple and s1 >= size then 'huffman-simple-second-symbol' when simple then null when size(le) = 0 then 'huff-build-all-zero' when not good then 'huff-build-overfull' when most > size then 'huffman-max-symbol-range' else f.bad end",
+            "own": f"case when why is not null then cast(array() as {_ENTRIES}) when simple then array_distinct(sort_array(if(two = 1, array(struct(1 as len, s0 as symbol), struct(1 as len, s1 as symbol)), array(struct(1 as len, s0 as symbol))))) "
+            "else sort_array(flatten(transform(f.runs, r -> transform(sequence(r.place, r.place + r.n - 1), s -> struct(r.len as len, s as symbol))))) end",
+            "space": f"aggregate(own, 0, (a, e) -> a + shiftleft(1, {bits.LONGEST} - e.len))",
+        },
+        f"named_struct('p', if(simple, p + 3 + fb + 8 * two, coalesce(f.at, p)), 'stage', case when why is not null then why when size(own) = 0 then 'huff-build-all-zero' when size(own) > 1 and space > {1 << bits.LONGEST} then 'huff-build-overfull' end, 'codes', array_append(h.codes, own))",
+    )
 
 
 def read_header(coded: DataFrame, meta: bool) -> DataFrame:
-    """Coded images with cache_bits, the entries of the five codes (CHANNELS), stage (null where all is well) and `begin`, the bit where the units begin. meta: whether a flag for several code groups is there."""
+    """Coded images with cache_bits, the entries of the five codes (CHANNELS, see _code()), stage (null where all is well) and `begin`, the bit where the units begin; written to the shared folder. meta: whether a flag for several code groups is there."""
     out = coded.withColumn("_base", F.expr("cast(coalesce(shiftright(at, 3), 0) as int)"))
-    out = out.withColumn("region", F.expr(bits.numbers(f"rpad(substring(data, _base + 1, {REGION}), least(greatest(length(data) - _base, 0), {REGION}) + 8, X'00')")))
-    out = out.withColumns({"room": F.expr("cast(greatest(0L, least(8L * (length(data) - _base), 1L << 30)) as int)"), "p": F.expr("cast(at & 7 as int)"), "stage": F.expr("if(data is null or not (width > 0 and height > 0), 'header', cast(null as string))")})
-    out = out.withColumn("_c", F.expr(_bit("p", "1"))).withColumn("cache_bits", F.expr(f"if(_c = 1, {_bit('p + 1', '4')}, 0)")).withColumn("p", F.expr("p + 1 + 4 * _c"))
-    out = out.withColumn("stage", F.expr("case when stage is not null then stage when _c = 1 and not (cache_bits between 1 and 11) then 'color-cache' end")).drop("_c")
-    if meta:
-        out = out.withColumn("stage", F.expr(f"case when stage is not null then stage when {_bit('p', '1')} = 1 then 'meta-flag' end")).withColumn("p", F.expr("p + 1"))
-    cache = "if(cache_bits > 0, shiftleft(1, least(cache_bits, 11)), 0)"
-    for name, alphabet in zip(CHANNELS, (f"({LITERALS + LENGTHS} + {cache})", LITERALS, LITERALS, LITERALS, DISTANCES), strict=True):
-        out = read_code(out, name, str(alphabet)).drop(f"{name}_code")
-    return written(out.withColumn("begin", F.expr("8L * _base + p")).drop("region", "room", "p", "_base"))  # a filter on top would be pushed down as one long expression
+    region = bits.numbers(f"rpad(substring(data, _base + 1, {REGION}), least(greatest(length(data) - _base, 0), {REGION}) + 8, X'00')")
+    out = out.withColumns({"region": F.expr(region), "room": F.expr("cast(greatest(0L, least(8L * (length(data) - _base), 1L << 30)) as int)"), "_p": F.expr("cast(at & 7 as int)")})
+    out = out.withColumn("_c", F.expr(_bit("_p", "1"))).withColumn("cache_bits", F.expr(f"if(_c = 1, {_bit('_p + 1', '4')}, 0)")).withColumn("_p", F.expr("_p + 1 + 4 * _c"))
+    stage = "case when data is null or not coalesce(width > 0 and height > 0, false) then 'header' when _c = 1 and not (cache_bits between 1 and 11) then 'color-cache'"
+    stage += f" when {_bit('_p', '1')} = 1 then 'meta-flag' end" if meta else " end"
+    start = f"named_struct('p', _p + {int(meta)}, 'stage', {stage}, 'codes', cast(array() as array<{_ENTRIES}>))"
+    sizes = f"array({LITERALS + LENGTHS} + if(cache_bits > 0, shiftleft(1, least(cache_bits, 11)), 0), {LITERALS}, {LITERALS}, {LITERALS}, {DISTANCES})"
+    out = out.withColumn("_h", F.expr(f"aggregate({sizes}, {start}, (h, size) -> if(h.stage is not null, h, {_code()}))"))
+    codes = [F.expr(f"if(_h.stage is null, get(_h.codes, {k}), null)").alias(c) for k, c in enumerate(CHANNELS)]
+    kept = [c for c in coded.columns if c not in ("cache_bits", "stage", "begin", *CHANNELS)]
+    return written(out.select(*kept, "cache_bits", F.col("_h.stage").alias("stage"), F.expr("8L * _base + _h.p").alias("begin"), *codes))
 
 
 class Code:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import LENGTH_ORDER
+from ..operators.bits import let
 
 
 def number(x: int, n: int) -> str:
@@ -74,8 +75,7 @@ def normal(lengths: list[int], max_symbol: bool = False) -> str:
 
 def packed(bits: str) -> str:
     """SQL: the bytes of a text of bits, filled up with zeros."""
-    padded = f"rpad({bits}, cast(8 * ((length({bits}) + 7) div 8) as int), '0')"
-    return f"unhex(array_join(transform(sequence(0, length({bits}) - 1, 8), k -> lpad(conv(reverse(substr({padded}, k + 1, 8)), 2, 16), 2, '0')), ''))"
+    return let({"b": bits, "t": "rpad(b, cast(8 * ((length(b) + 7) div 8) as int), '0')"}, "unhex(array_join(transform(sequence(0, length(b) - 1, 8), k -> lpad(conv(reverse(substr(t, k + 1, 8)), 2, 16), 2, '0')), ''))")
 
 
 def words(codes: dict[int, str], value: str, size: int) -> str:
@@ -117,3 +117,54 @@ def coded(planes: DataFrame, meta: bool = True) -> DataFrame:
         f"else concat('{head[3]}', {all_('slice(s, 1, 8)', part(greens[3], True, True))}, {all_('slice(s, 1, 8)', words({k: greens[3][280 + k] for k in range(8)}, slot, 8))}, '{row[3] * 6}') end"
     )
     return planes.select("image_id", F.expr(bits).alias("bits"), F.lit(8).cast("bigint").alias("width"), F.lit(8).cast("bigint").alias("height"))
+
+
+LISTS = 5
+
+
+def _zero_bits(*symbols: str) -> str:
+    """SQL: a sub-image of one colour: five codes of one symbol each."""
+    return "concat('0', " + ", ".join(f"'101', reverse(lpad(bin({s}), 8, '0'))" for s in symbols) + f", '{simple(0)}')"
+
+
+def pictures(spark, sf_dir: str) -> DataFrame:
+    """Pictures (image_id, data, width, height) of the colours c with lists of transforms. By image_id % LISTS: 0 none; 1 predictor (mode image_id % 14), subtract green; 2 cross colour, predictor, subtract green;
+    3 colour indexing: 16 colours i * 2654435761, the index is the sample's lowest four bits; 4 subtract green twice, then cross colour.
+    """
+    from ..operators import lossless
+    from .planes import colours
+
+    c = colours(spark, sf_dir).withColumn("kind", F.expr(f"cast(image_id % {LISTS} as int)"))
+    less_green = lambda df, times: df.withColumns({n: F.expr(f"pmod({n} - {times} * g, 256)") for n in "rb"})
+    delta = lambda t, v: lossless.color_delta(F.lit(t), F.col(v))
+    crossed = lambda df: df.withColumns({"r": F.pmod(F.col("r") - delta(200, "g"), F.lit(256)), "b": F.pmod(F.col("b") - delta(77, "g") - delta(31, "r"), F.lit(256))})
+
+    def residual(df: DataFrame) -> DataFrame:
+        own = df.select("image_id", "y", "x", F.expr("a * 16777216 + r * 65536 + g * 256 + b").alias("argb"))
+        out = lossless.predictor_residuals(own, F.pmod(F.col("image_id"), F.lit(14)))
+        return out.selectExpr("image_id", "y", "x", "shiftright(residual, 24) & 255 as a", "shiftright(residual, 16) & 255 as r", "shiftright(residual, 8) & 255 as g", "residual & 255 as b")
+
+    cells = [c.where("kind = 0"), less_green(residual(c.where("kind = 1")), 1), less_green(residual(crossed(c.where("kind = 2"))), 1), crossed(less_green(c.where("kind = 4"), 2))]
+    rest = c.where("kind = 3").groupBy("image_id", "y", F.expr("x div 2").alias("x")).agg(F.sum(F.expr("(v & 15) * shiftleft(1, cast(4 * (x % 2) as int))")).alias("g")).selectExpr("image_id", "y", "x", "255L as a", "9L as r", "g", "7L as b")
+    names = ["image_id", "y", "x", "a", "r", "g", "b"]
+    flat = rest.select(*names)
+    for part in cells:
+        flat = flat.unionByName(part.select(*names))
+    eight = "concat(" + ", ".join(f"lpad(bin({n}), 8, '0')" for n in "grba") + ")"
+    bits = flat.select("image_id", "y", "x", F.expr(eight).alias("t")).groupBy("image_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(y, x, t))), s -> s.t), '')").alias("t"))
+    codes = normal(PLAIN, True) + normal(EIGHT) * 3 + simple(0)
+    step = lambda kind: "1" + number(kind, 2)
+    mode = _zero_bits("image_id % 14", "0", "0", "0")
+    crosses = _zero_bits("77", "31", "200", "0")
+    colour = lambda i: [(i * 2654435761 % 2**32) >> s & 255 for s in (8, 16, 0, 24)]
+    palette = "".join(f"{(x - y) % 256:08b}" for i in range(16) for x, y in zip(colour(i), colour(i - 1) if i else [0] * 4, strict=True))
+    lists = {
+        0: "''",
+        1: f"concat('{step(0)}{number(1, 3)}', {mode}, '{step(2)}')",
+        2: f"concat('{step(1)}{number(0, 3)}', {crosses}, '{step(0)}{number(1, 3)}', {mode}, '{step(2)}')",
+        3: f"'{step(3)}{number(15, 8)}0{codes}{palette}'",
+        4: f"concat('{step(2)}{step(2)}{step(1)}{number(2, 3)}', {crosses})",
+    }
+    text = F.expr(f"concat(case image_id % {LISTS} {' '.join(f'when {k} then {v}' for k, v in lists.items())} end, '000{codes}', t)")
+    return bits.select("image_id", text.alias("bits")).select("image_id", F.expr(packed("bits")).alias("data"), F.lit(8).cast("bigint").alias("width"), F.lit(8).cast("bigint").alias("height"))
+

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixweft.functions import tables
-from pixweft.operators import bits, codes, streams
+from pixweft.operators import bits, codes, streams, transforms
 from pixweft.plans import streams as plans
 
 
@@ -207,3 +207,39 @@ def test_a_hundred_thousand_symbols_and_long_chains(spark):
     got = decoded(spark, [(1, as_bytes(one), 400, 250), (2, as_bytes(two), 4000, 1)])
     assert got[1] == ([0xFF030009 | v << 8 for v in values], None)
     assert got[2] == ([0xFF030709] * 4000, None)
+
+
+def test_transform_lists_of_pictures(spark):
+    """Lists of their own side by side: none, twice the same kind, four and five steps, damaged sub-images, null data."""
+    number, simple = plans.number, plans.simple
+    colour = lambda g, r, b, a: "0" + simple(g) + simple(r) + simple(b) + simple(a) + simple(0)
+    main = lambda g, r, b, a: "0" + "0" + colour(g, r, b, a)  # noqa: E731  end of the list, cache, then meta and codes without bits
+    green, palette = "1" + number(2, 2), "1" + number(3, 2) + number(1, 8)
+    lists = {
+        0: main(10, 20, 30, 40),
+        1: green * 2 + main(10, 250, 30, 40),
+        2: green * 4 + main(1, 2, 3, 4),
+        3: green * 5 + main(1, 2, 3, 4),
+        4: "1" + number(0, 2) + number(7, 3) + colour(1, 0, 0, 0) + main(1, 2, 3, 4),
+        5: "1" + number(1, 2) + number(0, 3) + colour(64, 32, 96, 0) + main(200, 100, 50, 255),
+        6: palette + colour(5, 6, 7, 8) + main(0b00000010, 0, 0, 0),
+        7: "1" + number(0, 2) + number(7, 3) + "1" + number(12, 4),
+        8: "1" + number(1, 2),
+    }
+    rows = [(i, as_bytes(t), 3, 2) for i, t in lists.items()] + [(20, None, 3, 2), (21, as_bytes(lists[0]), 3, 0)]
+    ended, cells = transforms.decode_lossless(spark.createDataFrame(rows, "image_id long, data binary, width long, height long"))
+    stages = {r.image_id: r.stage for r in ended.collect()}
+    assert {i for i, s in stages.items() if s is None} == {0, 1, 2, 4, 5, 6}
+    assert (stages[3], stages[7], stages[20], stages[21]) == ("transforms", "color-cache", "header", "header") and stages[8]
+    got = {}
+    for r in cells.collect():
+        got.setdefault(r.image_id, {})[r.y, r.x] = tuple((r.argb >> s) & 255 for s in (24, 16, 8, 0))
+    assert got.keys() == {0, 1, 2, 4, 5, 6} and all(p.keys() == {(y, x) for y in range(2) for x in range(3)} for p in got.values())
+    assert set(got[0].values()) == {(40, 20, 10, 30)} and set(got[1].values()) == {(40, (250 + 20) % 256, 10, 50)} and set(got[2].values()) == {(4, 6, 1, 7)}
+    first = lambda k: tuple((x * k + y) % 256 for x, y in zip((4, 2, 1, 3), (255, 0, 0, 0), strict=True))
+    assert [got[4][0, x] for x in range(3)] == [first(1), first(2), first(3)] and got[4][1, 0] == first(2) and got[4][1, 2] == first(4)  # mode 1: the left one
+    signed = lambda v: (v + 128) % 256 - 128
+    delta = lambda t, c: signed((signed(t) * signed(c)) >> 5)
+    red = (100 + delta(96, 200)) % 256
+    assert set(got[5].values()) == {(255, red, 200, (50 + delta(64, 200) + delta(32, red)) % 256)}
+    assert [got[6][0, x] for x in range(3)] == [(8, 6, 5, 7), (16, 12, 10, 14), (8, 6, 5, 7)]  # indexes 0, 1, 0; the palette's second colour is the sum of two equal ones
