@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import clip, query
+from .functions import sql
 from .operators import alpha, compose, container
 from .plans.images import IMAGES, images
 from .plans.planes import COLOURS, LINES, colours, lines
@@ -39,6 +40,28 @@ def riff_chunks(spark, sf):
     return chunks(images(spark, sf)).select("image_id", "scope", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("at").alias("place"), "tag", "size", "payload", "fits", F.hex("head").alias("head"))
 
 
+@query(f"{_WALK} select image_id, scope, ordinal, place, tag, size, payload, fits, head from ch")
+def riff_chunks_in_sql(spark, sf):
+    """riff_chunks as plain SQL over a registered table function."""
+    sql.register(spark)
+    return spark.sql("select image_id, c.scope, cast(c.ordinal as bigint) as ordinal, c.at as place, c.tag, c.size, c.payload, c.fits, hex(c.head) as head from {files}, lateral webp_chunks(content) c", files=images(spark, sf))
+
+
+@query(
+    f"with {LINES}, p as (select *, a * 16777216 + r * 65536 + g * 256 + b as argb, a * 16777216 + a * 65536 + r * 256 + r as other from li) select image_id, pos, least(200, greatest(50, r)) as clipped, argb, (argb >> 8) & 255 as green, "
+    "((((a + b) // 2) << 24) | (((r + g) // 2 | ((a + b) % 2) * 128) << 16) | (((g + r) // 2) << 8) | ((b + a) // 2)) as average, case when abs(a + r + g + b - 510) < abs(2 * a + 2 * r - 510) then argb else other end as chosen, "
+    "(r + g + 1) // 2 as two, (r + 2 * g + b + 2) // 4 as three, ((argb * 506832829) & 4294967295) >> 24 as slot, case when r % 40 < 4 then r % 40 + 1 else ((2 + r % 2) << ((r % 40 - 2) // 2)::int) + g + 1 end as value, r * r * g as needed from p"
+)
+def pixel_functions_in_sql(spark, sf):
+    sql.register(spark)
+    return spark.sql(
+        "select image_id, pos, px_clip(r, 50, 200) as clipped, argb, px_channel(argb, 1) as green, px_average(argb, px_argb(b, g, r, a)) as average, "
+        "px_select(argb, px_argb(a, a, r, r), px_argb(255, 255, 0, 0)) as chosen, px_mean2(r, g) as two, px_mean3(r, g, b) as three, px_cache_slot(argb, 8) as slot, px_prefix_value(r % 40, g) as value, px_needed_bytes(r * r, g) as needed "
+        "from (select *, px_argb(a, r, g, b) as argb from {li})",
+        li=lines(spark, sf),
+    )
+
+
 def _pick(scope: str, tag: str, last: bool = False) -> str:
     """The place of the chunk that counts."""
     return f"{'arg_max' if last else 'arg_min'}(payload, ordinal) filter (where ordinal >= 0 and fits and scope = '{scope}' and tag = '{tag}')"
