@@ -124,7 +124,7 @@ def undo(cells: DataFrame, steps: DataFrame, blocks: DataFrame) -> DataFrame:
 def decode_lossless(pictures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows (image_id, stage), pixels (image_id, y, x, argb)) of pictures (image_id, data, width, height); stage is null for decoded ones. Null data and sizes below 1 fail in stage `header`."""
     sound = F.coalesce(F.col("data").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
-    own = pictures.select("image_id", "data", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+    own = written(pictures.select("image_id", "data", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height")))  # each round reads it
     main, failed, steps, blocks = read_transforms(own.where(sound))
     results, flat = streams.decode_coded(main, meta=True)
     sized = main.select("image_id", "width")
