@@ -143,7 +143,7 @@ def test_op9(spark, sf_dir):
 def test_empty_tables(spark, tmp_path):
     path = str(tmp_path)
     odd_documents(spark).limit(0).write.parquet(f"{path}/documents.parquet")
-    for name, kinds in (("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string"), ("conversations", "conv_id long, turn long, role string, text string")):
+    for name, kinds in (("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string"), ("conversations", "conv_id long, turn long, role string, text string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame([], kinds).write.parquet(f"{path}/{name}.parquet")
     for query in queries.QUERIES.values():
         assert query(spark, path).count() == 0
